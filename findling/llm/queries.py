@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from findling.llm import mixing, transport
+from findling.llm import minhash, mixing, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
     "op3_sainte_lague": mixing.op3_sainte_lague,
+    "op7_bbit_minhash": minhash.op7_bbit_minhash,
 }
 SQL = {"op3_sainte_lague": mixing.OP3_SQL}
