@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from findling.llm import minhash, mixing, transport
+from findling.llm import minhash, mixing, product, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
     "op3_sainte_lague": mixing.op3_sainte_lague,
     "op7_bbit_minhash": minhash.op7_bbit_minhash,
+    "op9_product_quantisation": product.op9_product_quantisation,
 }
 SQL = {"op3_sainte_lague": mixing.OP3_SQL}
