@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from findling.llm import minhash, mixing, product, transport
+from findling.llm import minhash, mixing, packing, product, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
     "op3_sainte_lague": mixing.op3_sainte_lague,
     "op7_bbit_minhash": minhash.op7_bbit_minhash,
+    "op8_cutting_stock": packing.op8_cutting_stock,
     "op9_product_quantisation": product.op9_product_quantisation,
 }
 SQL = {"op3_sainte_lague": mixing.OP3_SQL}
