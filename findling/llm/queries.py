@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from findling.llm import minhash, mixing, packing, product, transport
+from findling.llm import minhash, mixing, packing, personal, product, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
+    "op2_weak_supervision": personal.op2_weak_supervision,
     "op3_sainte_lague": mixing.op3_sainte_lague,
     "op7_bbit_minhash": minhash.op7_bbit_minhash,
     "op8_cutting_stock": packing.op8_cutting_stock,
