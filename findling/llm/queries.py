@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from findling.llm import minhash, mixing, packing, personal, product, transport
+from findling.llm import licences, minhash, mixing, packing, personal, product, secrets, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
     "op2_weak_supervision": personal.op2_weak_supervision,
     "op3_sainte_lague": mixing.op3_sainte_lague,
+    "op4_fuzzy_notices": licences.op4_fuzzy_notices,
+    "op6_conditional_field": secrets.op6_conditional_field,
     "op7_bbit_minhash": minhash.op7_bbit_minhash,
     "op8_cutting_stock": packing.op8_cutting_stock,
     "op9_product_quantisation": product.op9_product_quantisation,
