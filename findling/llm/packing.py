@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encoder = Encoder.of(model.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                part, out = batch.slice(i, 256), ([], [], [], [], [])
+                part, out = batch.slice(i, 512), ([], [], [], [], [])
                 for k, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
                     ids += end
                     for at in range(0, len(ids), 4 * length):
