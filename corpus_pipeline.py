@@ -1,13 +1,61 @@
-"""A training corpus from documents: the stages, each written as Parquet and read again by the next."""
+"""A training corpus from documents: stages that each read all that the one before kept.
+
+Each stage is written as Parquet and read again by the next; all but the last return the columns of documents.
+Null or empty texts pass the quality stage, are nobody's duplicates and leave at mixing, which takes words; an
+empty table gives no rows; repeated rows are one document from the second stage on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from findling.llm import fluency, minhash, mixing, packing, personal
 from findling.llm.shared import cut, table
 
-STAGES: list = []
-ORACLE_SQL = None
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model does not reject."""
+    judged = fluency.judge(fluency.score(docs, table(spark, sf_dir, "labels")))
+    bad = cut(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    return docs.join(bad, same, "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest doc_id stays."""
+    found = cut(minhash.near_duplicates(docs, words=5, percent=80, bands=32).where("root is not null").select("doc_id", "h", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    spare = found.join(first, "root").where(~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
+    spare = cut(spare.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    kept = docs.join(spare, same, "left_anti")
+    again = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return kept
+    keyed = kept.withColumn("_text_h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h"))
+    rest, repeated = keyed.join(again, same, "left_anti"), keyed.join(again, same, "left_semi")
+    return rest.union(repeated.dropDuplicates(["doc_id", "_text_h"])).drop("_text_h")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data replaced by their kind."""
+    return personal.redact(docs, personal.fit(docs), chars="n_chars")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole and partial passes over the documents so that sources meet their targets."""
+    return mixing.take(docs, chars="n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs, packing.tokenizer_json())
+
+
+STAGES = [("quality classifier", quality), ("near-duplicates", near_duplicates), ("personal data", personal_data), ("source mixture", mixture), ("packing", packed)]
+ORACLE_SQL = None  #: SQL expresses neither the fitted models nor the packing; tests/llm holds a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,27 +54,55 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     return x.select("source", "rank", "n_docs", "source_size", "budget", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * (F.col("budget") - F.col("spent")) / F.col("open")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, **shares) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs."""
-    sizes = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+def _dealt(docs: DataFrame, key: str, source: str, text: str, keep: tuple[str, ...], block: int, shard_docs: int, seed: str, **shares) -> DataFrame:
+    """The rows with their place in their shard's stream (start, stop) and the shard's selection: q blocks in all of n, turned by turn. Columns named in keep come along as `_keep` structs."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    whole = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size, *([F.struct(*keep).alias("_keep")] if keep else []))
+    sizes = cut(whole.select("doc_id", "source", "size"))
     sources = targets(sizes, **shares).withColumn("blocks", F.floor(F.col("budget") / block + 0.5).cast("long"))
     sources = cut(apportion(sources, [], "target", "blocks", "rank").drop("blocks", "budget").withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("long")))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    rows = sizes.withColumn("order", order).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("shard", F.expr("conv(substring(order, 1, 8), 16, 10) * 1L * shards div 4294967296"))
-    rows = rows.select("doc_id", "size", "source_size", "target", "rank", "quota", "shard", "order")
-    shards = rows.groupBy("rank", "quota", "shard").agg(F.sum("size").alias("words"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("order", order).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+        rows = rows.withColumn("shard", F.expr("conv(substring(order, 1, 8), 16, 10) * 1L * shards div 4294967296"))
+        return rows.drop("source", "_source", "shards", "n_docs")
+
+    shards = placed(sizes).groupBy("rank", "quota", "shard").agg(F.sum("size").alias("words"))
     shards = apportion(shards.withColumnRenamed("quota", "seats"), ["rank"], "words", "seats", "shard")
     shards = shards.select("rank", "shard", F.expr(f"(words + {block - 1}) div {block}").alias("n"), "quota")
     shards = cut(shards.select("rank", "shard", "n", F.least("quota", F.col("n") * shares.get("most", MOST)).alias("q"), _hash(F.lit(seed), F.col("rank").cast("string"), F.col("shard").cast("string")).alias("turn")))
+    rows = placed(whole if keep else sizes).drop("quota")
     rows = rows.withColumn("stop", F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.drop("quota").join(shards, ["rank", "shard"])
-    picked = lambda k: f"(({k}) + turn % n) * (q % n) div n"  # noqa: E731  blocks selected before the k-th, up to a constant
-    upto = lambda w: f"(q div n) * ({w}) + {block} * ({picked(f'({w}) div {block}')}) + (({w}) % {block}) * ({picked(f'({w}) div {block} + 1')} - {picked(f'({w}) div {block}')})"
-    taken = F.expr(f"case when size = 0 then 0L else {upto('stop')} - ({upto('(stop - size)')}) end")
+    return rows.withColumn("start", F.col("stop") - F.col("size")).join(shards, ["rank", "shard"])
+
+
+def _picked(k: str) -> str:
+    """Blocks selected before the k-th, up to a constant."""
+    return f"(({k}) + turn % n) * (q % n) div n"
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, **shares) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for each row of docs."""
+    rows = _dealt(docs, key, source, text, (), block, shard_docs, seed, **shares)
+    upto = lambda w: f"(q div n) * {w} + {block} * ({_picked(f'{w} div {block}')}) + ({w} % {block}) * ({_picked(f'{w} div {block} + 1')} - {_picked(f'{w} div {block}')})"
+    taken = F.expr(f"case when size = 0 then 0L else {upto('stop')} - ({upto('start')}) end")
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def take(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", chars: str | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, **shares) -> DataFrame:
+    """The mix itself, in the columns of docs: each document once for every full pass, and once with the words of its selected blocks (joined by spaces) where those of a partial pass fall on it. chars names a column that then holds the text's length."""
+    rows = _dealt(docs, key, source, text, tuple(docs.columns), block, shard_docs, seed, **shares)
+    at = f"((start + i) div {block})"
+    part = F.expr(f"filter(regexp_extract_all(_keep.`{text}`, '{WORD}', 0), (w, i) -> {_picked(f'{at} + 1')} > {_picked(at)})".replace("\\", "\\\\"))
+    copies = F.expr(f"array_repeat(_keep.`{text}`, int(q div n))")
+    rows = rows.where("size > 0 and q > 0").select("_keep", copies.alias("_full"), F.when(F.expr("q % n > 0"), part).otherwise(F.array().cast("array<string>")).alias("_part"))
+    texts = F.concat("_full", F.when(F.size("_part") > 0, F.array(F.array_join("_part", " "))).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("_keep", F.explode(texts).alias("_text"))
+    named = {text: F.col("_text")} | ({chars: F.length("_text").cast(docs.schema[chars].dataType)} if chars else {})
+    return rows.select(*((named[c] if c in named else F.col(f"_keep.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op3_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

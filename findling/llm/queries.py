@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from findling.llm import licences, minhash, mixing, packing, personal, product, secrets, transport
+from findling.llm import fluency, licences, minhash, mixing, packing, personal, product, secrets, toxicity, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
     "op2_weak_supervision": personal.op2_weak_supervision,
     "op3_sainte_lague": mixing.op3_sainte_lague,
     "op4_fuzzy_notices": licences.op4_fuzzy_notices,
+    "op5_cumulative_link": toxicity.op5_cumulative_link,
     "op6_conditional_field": secrets.op6_conditional_field,
     "op7_bbit_minhash": minhash.op7_bbit_minhash,
     "op8_cutting_stock": packing.op8_cutting_stock,
     "op9_product_quantisation": product.op9_product_quantisation,
+    "op10_kneser_ney": fluency.op10_kneser_ney,
 }
 SQL = {"op3_sainte_lague": mixing.OP3_SQL}
