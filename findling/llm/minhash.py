@@ -7,8 +7,8 @@
    with all. `similar` counts equal fields of two packed signatures, corrects for chance collisions of b-bit fields
    and keeps what may reach the threshold (five standard deviations below it).
 3. Candidates are confirmed on the full shingle sets, and confirmed links joined to components. Then buckets that
-   still hold two components give the pairs across components; buckets too large for that shed one pivot after the
-   other, each compared with all members, so that no link is lost and no bucket is met by all its pairs at once.
+   still hold two components have the pairs across components estimated and compared in blocks of members; crowded
+   ones shed up to four pivots first, each compared with all members. No link is lost.
 
 With 24 bands of 4 rows a pair at similarity 0.85 is missed once in 5e7; above 0.9 never in practice.
 
@@ -27,13 +27,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.llm.shared import components, cut, table
 
 HASHES, BITS, BANDS, ROWS = 128, 2, 24, 4
-PAIRWISE = 48  #: buckets with more members left shed pivots first
+CROWD, PIVOT_ROUNDS = 8192, 4  #: buckets with more members left than CROWD give a pivot again, so often at most
+BLOCK = 1024  #: members of a bucket that are compared across components at once
 CACHED_WORDS = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -143,7 +144,7 @@ def sets(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -
                 h, counts = shingles(texts, words, cache)
                 ends = np.cumsum(counts)
                 found = [shingle_set(h[e - n : e]) for e, n in zip(ends, counts, strict=True) if n]
-                yield pa.RecordBatch.from_arrays([pa.array([d for _, d in found], pa.binary()), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))], ["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for _, d in found], pa.binary()), pa.array([np.sort(s.view(np.int64)) for s, _ in found], pa.list_(pa.int64()))], ["digest", "shingles"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "digest binary, shingles array<long>")
 
@@ -172,6 +173,56 @@ def cutoff(threshold: float, hashes: int, bits: int) -> float:
     return threshold - 5 * (p * (1 - p) / hashes) ** 0.5 / (1 - 2.0**-bits)
 
 
+def _across(group: pa.Table, percent: int, least: float, hashes: int, bits: int) -> pa.Table:
+    """Links that join components within buckets. A pair is compared in the first bucket that it shares (in an earlier round one of the two was that bucket's pivot, or both are still there); pairs that links found here have joined are passed over."""
+    group = group.sort_by([("bucket", "ascending"), ("digest", "ascending")]).combine_chunks()
+    bucket, part = group.column("bucket").to_numpy(), group.column("part").to_numpy()
+    digests, roots = group.column("digest").to_pylist(), group.column("root").to_pylist()
+    flat = lambda c, t: group.column(c).combine_chunks().flatten().to_numpy().view(t).reshape(len(bucket), -1)
+    bands, signature, held = flat("bands", np.int64), flat("signature", np.uint64), group.column("shingles").combine_chunks()
+    values, ends = held.values.to_numpy(), held.offsets.to_numpy()
+    sizes = np.diff(ends)
+    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+    parent: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    split = int(group.column("i")[0].as_py()) != int(group.column("j")[0].as_py())
+    most = hashes * (1 - (2.0**-bits + least * (1 - 2.0**-bits)))
+    out: tuple[list, list] = ([], [])
+    starts = np.concatenate([np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), [len(bucket)]])
+    for lo, hi in zip(starts, starts[1:], strict=False):
+        for a in range(lo, hi - 1):
+            x = signature[a + 1 : hi] ^ signature[a]
+            some = x.copy()
+            for k in range(1, bits):
+                some |= x >> np.uint64(k)
+            small, large = np.minimum(sizes[a + 1 : hi], sizes[a]), np.maximum(sizes[a + 1 : hi], sizes[a])
+            near = (np.bitwise_count(some & ones).sum(1) <= most) & (100 * small >= percent * large)
+            if split:
+                near &= part[a + 1 : hi] != part[a]
+            b = np.flatnonzero(near) + a + 1
+            if not len(b):
+                continue
+            shared = bands[b] == bands[a]
+            b = b[bands[a][shared.argmax(1)] == bucket[a]]
+            own = values[ends[a] : ends[a + 1]]
+            for q in b:
+                if top(roots[a]) == top(roots[q]):
+                    continue
+                other = values[ends[q] : ends[q + 1]]
+                at = np.searchsorted(own, other)
+                both = int((own[np.minimum(at, len(own) - 1)] == other).sum())
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    out[0].append(digests[a])
+                    out[1].append(digests[q])
+                    parent[max(top(roots[a]), top(roots[q]))] = min(top(roots[a]), top(roots[q]))
+    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, kept, digest, root) for each row.
 
@@ -186,16 +237,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     reach = members.groupBy("digest").agg(F.sum("members").alias("reach"))
     left = cut(members.join(reach, "digest").select("bucket", "digest", "reach"))
 
-    signed = cut(classes.join(reach, "digest", "left_semi").select("digest", "signature"))
+    signed = cut(classes.join(reach, "digest", "left_semi").select("digest", "bands", "signature"))
     wanted = classes.join(reach, "digest", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     some = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = cut(sets(some, words).join(reach.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
     least = cutoff(percent / 100, hashes, bits)
 
+    def close(a: str, b: str) -> F.Column:
+        return estimate(equal_fields(F.col(a), F.col(b), hashes, bits), hashes, bits) >= least
+
     def similar(pairs: DataFrame) -> DataFrame:
         x = pairs.join(signed.select(F.col("digest").alias("a"), F.col("signature").alias("sa")), "a")
         x = x.join(signed.select(F.col("digest").alias("b"), F.col("signature").alias("sb")), "b")
-        return x.where(estimate(equal_fields(F.col("sa"), F.col("sb"), hashes, bits), hashes, bits) >= least).select("a", "b")
+        return x.where(close("sa", "sb")).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = pairs.join(full.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -203,29 +257,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         x = x.withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return x.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
-    def by_pivots(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links to each bucket's pivot, and the buckets without it."""
+    links = None
+    for turn in range(1, PIVOT_ROUNDS + 1):
         pivots = left.groupBy("bucket").agg(F.max(F.struct("reach", "digest")).alias("p")).select("bucket", F.col("p.digest").alias("pivot"))
-        x = left.join(pivots, "bucket")
-        rest = x.where("digest <> pivot")
-        pairs = rest.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()
-        return confirmed(similar(pairs)), rest.select("bucket", "digest", "reach")
-
-    links = classes.select(F.col("digest").alias("a"), F.col("digest").alias("b")).limit(0)
-    while True:
-        new, left = by_pivots(left)
-        links = cut(links.union(new).distinct())
+        rest = left.join(pivots, "bucket").where("digest <> pivot")
+        new = confirmed(similar(rest.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()))
+        links = cut(new if links is None else links.union(new).distinct())
         roots = cut(components(links))
-        named = left.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        named = cut(named.select("bucket", "digest", "reach", "root"))
+        named = rest.select("bucket", "digest", "reach").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+        named = cut(named.withColumn("root", F.coalesce("root", "digest")))
         split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
         left = cut(named.join(split, "bucket"))
-        if left.where(F.col("members") > PAIRWISE).isEmpty():
+        if turn == PIVOT_ROUNDS or left.where(F.col("members") > CROWD).isEmpty():
             break
-    x = left.select("bucket", F.col("digest").alias("a"), F.col("root").alias("ra")).join(left.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb")), "bucket")
-    pairs = x.where("a < b and ra <> rb").select("a", "b").distinct()
-    links = cut(links.union(confirmed(similar(pairs))))
-    roots = components(links)
+        left = left.drop("root", "members")
+    # Pairs across components: small buckets many at a time, large ones in blocks of two parts of their members.
+    small = F.col("members") <= BLOCK // 4
+    groups = max(1, left.count() // (2 * BLOCK))
+    dealt = left.join(signed, "digest").join(full, "digest").withColumns({"parts": F.ceil(F.col("members") / BLOCK).cast("int"), "part": F.pmod(F.xxhash64("digest"), F.ceil(F.col("members") / BLOCK)).cast("int")})
+    ends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, "part").alias("i"), F.greatest(q, "part").alias("j")))
+    dealt = dealt.withColumns({"block": F.explode(ends), "at": F.when(small, F.pmod(F.col("bucket"), F.lit(groups))).otherwise(F.col("bucket"))})
+    dealt = dealt.select("at", small.alias("small"), F.col("block.i").alias("i"), F.col("block.j").alias("j"), "part", "bucket", "digest", "root", "bands", "signature", "shingles")
+    more = cut(dealt.groupBy("at", "small", "i", "j").applyInArrow(lambda group: _across(group, percent, least, hashes, bits), "a binary, b binary"))
+    if not more.isEmpty():
+        roots = cut(components(links.union(more)))
 
     named = classes.select("digest", "doc_id").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = cut(named)

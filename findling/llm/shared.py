@@ -46,17 +46,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
-    while True:
+    seal = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+    mark = seal(now)
+    while mark[0]:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        large = cut(large)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, mark = mark, seal(now)
+        if mark == before:
             break
-        now = small
-    roots = small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
