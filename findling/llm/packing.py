@@ -13,9 +13,10 @@ are separate pieces in a stable order; an empty table gives no rows; extra colum
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +26,29 @@ from pyspark.sql import functions as F
 from findling.llm.shared import cut, table
 
 LENGTH, STEP, CLOSING, GAP, SHARD = 4096, 8, 2, 2e-4, 20_000
-CACHED, LONGEST_CACHED = 400_000, 48
+CACHED, LONGEST_CACHED = 700_000, 20
 
 
-class Encoder:
-    """Token ids as little-endian 32-bit bytes.
+class Encoder(dict):
+    """Token ids as little-endian 32-bit bytes, by runs of a text that the tokenizer never joins, which are remembered.
 
-    The tokenizer lower-cases and drops white space, so the runs between ASCII white space are encoded apart, in
-    lower case, and remembered; a run of letters with punctuation behind it is encoded as the two runs that the
-    tokenizer makes of it. Texts that may hold a special token go to the tokenizer as they are.
+    The tokenizer lower-cases, drops white space and parts letters from symbols, so runs between ASCII white space
+    can be encoded apart, and within them ASCII letters and digits from ASCII symbols. Runs with an apostrophe stay
+    whole (it may begin a contraction), as do all where a character beyond ASCII is not a letter. Texts that may
+    hold a special token go to the tokenizer as they are.
     """
 
     made: dict = {}
-    MARK, TAIL = "\x01", b".,;:!?%&*#$|)"
+    RUNS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
+    QUOTED = re.compile(rb"[^\s']*'\S*|[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(text), {}
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_str(text)
+        self.model = self.tokenizer.model
 
     @classmethod
     def of(cls, text: str) -> Encoder:
@@ -51,35 +56,30 @@ class Encoder:
             cls.made = {text: cls(text)}
         return cls.made[text]
 
-    def _plain(self, text: str) -> bytes:
+    def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        known, parts = self.known, []
-        for r in new:
-            stem = r.rstrip(self.TAIL)
-            if stem and stem != r and stem.decode().isalpha():
-                parts.append((r, stem, r[len(stem) :]))
-        ends = {x for _, *both in parts for x in both}
-        fresh = [r for r in (new - {r for r, _, _ in parts} | ends) - known.keys() if b"\x01" not in r]
-        if fresh:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(r.decode() for r in fresh)], add_special_tokens=False)[0].ids, "<u4")
-            cuts, whole = (4 * np.flatnonzero(ids == self.mark)).tolist(), ids.tobytes()
-            known.update(zip(fresh, (whole[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(whole)], strict=True)), strict=True))
-        known.update((r, self._plain(r.decode())) for r in new if b"\x01" in r)
-        known.update((r, known[stem] + known[tail]) for r, stem, tail in parts if r not in known)
+    def __missing__(self, run: bytes) -> bytes:
+        if run.isalpha():  # ASCII letters only: nothing for the tokenizer to normalise or split
+            ids = np.array([t.id for t in self.model.tokenize(run.decode())], "<u4").tobytes()
+        else:
+            ids = self._ids(run.decode())
+        if len(run) <= LONGEST_CACHED:
+            self[run] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        runs = [t.encode("utf-8", "replace").lower().split() if t and "<|" not in t else [] for t in texts]
-        new = set(chain.from_iterable(runs)) - self.known.keys()
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, own)) if own or not t else self._plain(t) for own, t in zip(runs, texts, strict=True)]
-        for r in new:
-            if len(r) > LONGEST_CACHED:
-                del self.known[r]
-        return out
+        if len(self) > CACHED:
+            self.clear()
+        return [self._one(t) if t else b"" for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        if "<|" in text:
+            return self._ids(text)
+        raw = text.encode("utf-8", "replace").lower()
+        if not text.isascii() and not all(c.isalpha() for c in set(text) if c > "\x7f"):
+            return b"".join(map(self.__getitem__, raw.split()))
+        return b"".join(map(self.__getitem__, (self.QUOTED if "'" in text else self.RUNS).findall(raw)))
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
