@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DECODER = json.JSONDecoder()
 
@@ -75,7 +76,7 @@ def array_of(text: str) -> list | None:
     return found or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_array(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None or (v := array_of(t)) is None else json.dumps(v, ensure_ascii=False), na_action="ignore")
 
@@ -92,7 +93,7 @@ def best_object(text: str, fields: tuple[str, ...]) -> dict | None:
 
 
 def best_json(fields: tuple[str, ...]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def pick(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if (v := best_object(t, fields)) is None else json.dumps(v, ensure_ascii=False), na_action="ignore")
 
@@ -112,7 +113,7 @@ def last_complete(text: str, keys: frozenset[str]) -> dict | None:
 
 
 def accepted_json(keys: tuple[str, ...]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def accept(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if (v := last_complete(t, frozenset(keys))) is None else json.dumps(v, ensure_ascii=False), na_action="ignore")
 
@@ -123,14 +124,14 @@ def script_value(name: str):
     """The object or array assigned to, or keyed by, a name in script text."""
     pattern = re.compile(rf"[\"']?\b{re.escape(name)}\b[\"']?\s*[:=]\s*(?=[{{\[])")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def value(text: pd.Series) -> pd.Series:
         return text.map(lambda t: balanced(t, m.end()) if (m := pattern.search(t)) else None, na_action="ignore")
 
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no spaces."""
     return text.map(lambda t: json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")

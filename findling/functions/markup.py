@@ -10,9 +10,10 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -97,7 +98,7 @@ def merged_fields(values: DataFrame, key: str = "page_id") -> DataFrame:
 def best_segment(words: dict[str, float]):
     """Of the blocks of a page the one whose words score highest, longer ones first among equals."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def pick(markup: pd.Series) -> pd.Series:
         def one(m: str) -> str | None:
             parser = _Blocks()

@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Name words of several kinds.
 UNKNOWN = r"unbekannt\w*|unknown\w*|unidentified|anon(?:ym\w*|iem|ymous)?|n\.?\s*n\.?|artist unknown|künstler unbekannt"
@@ -118,7 +119,7 @@ def normal_name(raw: str | None) -> dict:
     return out | {"matched": True, "name": qualifier + cased(name) + suffix}
 
 
-@F.pandas_udf("matched boolean, name string, dob string, dod string, pob string, pod string")
+@F.pandas_udf(StructType([StructField("matched", BooleanType())] + [StructField(n, StringType()) for n in ("name", "dob", "dod", "pob", "pod")]))
 def artist_name(raw: pd.Series) -> pd.DataFrame:
     known: dict = {}
     rows = [known.setdefault(r, None) or known.update({r: normal_name(r)}) or known[r] for r in raw]
