@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def keyset_page(rows: DataFrame, keys: list[str], after: tuple | None, size: int) -> DataFrame:
     """The next rows behind a composite key."""
     if after is not None:
-        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(v) for v in after)))
+        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True))))
     return rows.orderBy(*keys).limit(size)
 
 

@@ -45,8 +45,8 @@ def neighbours(matches: DataFrame, match_id: str, mode: str) -> DataFrame:
 
     def rank(prefix: str) -> Column:
         if mode == BEST:
-            return F.struct(F.col(prefix + score).isNull().alias("a"), (-F.col(prefix + score)).alias("b"), F.col(prefix + "match_date").isNull().alias("c"), (-F.unix_micros(prefix + "match_date")).alias("d"), F.col(prefix + "match_id").alias("e"))
-        stamp = F.unix_micros(prefix + score)
+            return F.struct(F.col(prefix + score).isNull().alias("a"), (-F.col(prefix + score)).alias("b"), F.col(prefix + "match_date").isNull().alias("c"), (-F.unix_micros(F.col(prefix + "match_date").cast("timestamp"))).alias("d"), F.col(prefix + "match_id").alias("e"))
+        stamp = F.unix_micros(F.col(prefix + score).cast("timestamp"))
         return F.struct(F.col(prefix + score).isNull().alias("a"), (stamp if up else -stamp).alias("b"), F.col(prefix + "match_id").alias("e"))
 
     here = at.select(*(F.col(c).alias(f"h_{c}") for c in ("match_id", "match_date", "final_score")))

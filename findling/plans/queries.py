@@ -211,7 +211,7 @@ def ag5_year_coverage(v):
     wanted as (select distinct width as x, height as y from lost where width is not null and height is not null),
     dens as (select x, y, sum(p.w * exp(-(c * (x - width) * (x - width) - 2 * b * (x - width) * (y - height) + a * (y - height) * (y - height)) / (2 * (a * c - b * b)))) / (any_value(n) * 2 * pi() * sqrt(any_value(a * c - b * b))) as d from wanted cross join pts p cross join s group by x, y),
     logs as (select x, y, ln(1 / greatest(d, 1e-12)) as l from dens), top as (select max(l) as m from logs join pts on x = width and y = height)
-    select lost_id, round(least(1.0, greatest(0.0, l / m)), 9) as size_conf from lost left join logs on width = x and height = y cross join top""")
+    select lost_id, case when l is not null then round(least(1.0, greatest(0.0, l / m)), 9) end as size_conf from lost left join logs on width = x and height = y cross join top""")
 def sc12_dimension_confidence(v):
     lost = v["lost"]
     return indexes.density_confidence(lost.select("lost_id", "width", "height"), indexes.trimmed_sizes(lost), "width", "height", "size_conf").select("lost_id", F.round("size_conf", 9).alias("size_conf"))
@@ -335,8 +335,8 @@ def st5_page_then_details(v):
     return matches.page(_groups(v), matches.BEST, 1, details=v["lost"].select("lost_id", "title"), on=["lost_id"]).select("match_id", "final_score", "title")
 
 
-@query(f"""select auction_id, match_id, final_score from (select *, row_number() over (partition by auction_id order by final_score desc nulls last, match_date desc nulls last, match_id) as at from ({_GROUPS}) g where final_score is not null) x
-    where at = 1 order by final_score desc nulls last, match_date desc nulls last, match_id limit 50""")
+@query(f"""select auction_id, match_id, final_score from (select *, row_number() over (partition by auction_id order by final_score desc nulls last, match_date desc nulls last, match_id) as rn from ({_GROUPS}) g where final_score is not null) x
+    where rn = 1 order by final_score desc nulls last, match_date desc nulls last, match_id limit 50""")
 def wn1_st3_best_per_auction(v):
     return matches.best_per_auction(_groups(v), 50).select("auction_id", "match_id", "final_score")
 
@@ -386,7 +386,7 @@ def ag1_directory_counts(v):
 # Joins
 
 
-@query("select a.lost_id, b.auction_id from lost a join auction b on greatest(a.dating_start, b.dating_start) <= least(a.dating_end, b.dating_end)")
+@query("select a.lost_id, b.auction_id from lost a join auction b on a.dating_start <= b.dating_end and b.dating_start <= a.dating_end")
 def jn2_interval_overlap(v):
     """Each interval is dealt to the fifty-year buckets that it touches; a pair is taken in its first common one."""
     size = 50
@@ -426,7 +426,7 @@ def jn12_case_insensitive(v):
     return a.join(v["supplier"].select("s_suppkey", F.lower(F.replace("s_name", F.lit("Supplier"), F.lit("X"))).alias("k")), "k").select("c_custkey", "s_suppkey")
 
 
-@query("""select c_custkey, s_suppkey from (select c_custkey, s_suppkey, row_number() over (partition by c_custkey order by case when s_suppkey = c_custkey then 0 else 1 end, s_suppkey) as at from customer join supplier on s_nationkey = c_nationkey) x where at = 1""")
+@query("""select c_custkey, s_suppkey from (select c_custkey, s_suppkey, row_number() over (partition by c_custkey order by case when s_suppkey = c_custkey then 0 else 1 end, s_suppkey) as rn from customer join supplier on s_nationkey = c_nationkey) x where rn = 1""")
 def jn13_preferred_row(v):
     x = v["customer"].join(v["supplier"], F.col("s_nationkey") == F.col("c_nationkey"))
     return x.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct((F.col("s_suppkey") != F.col("c_custkey")).alias("a"), "s_suppkey")).alias("s_suppkey"))
@@ -466,15 +466,19 @@ def ag4_document_frequency(v):
     return words.groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query("""select auction_id, cast(count(*) as double) as n, avg(x) as mean, var_pop(x) as var, stddev_pop(x) as std, min(x) as min, max(x) as max, quantile_cont(x, 0.1) as p10, quantile_cont(x, 0.2) as p20, quantile_cont(x, 0.3) as p30, quantile_cont(x, 0.4) as p40,
-    quantile_cont(x, 0.5) as p50, quantile_cont(x, 0.6) as p60, quantile_cont(x, 0.7) as p70, quantile_cont(x, 0.8) as p80, quantile_cont(x, 0.9) as p90, sum(x) as sum from (select l_orderkey as auction_id, l_extendedprice as x from lineitem) y group by auction_id""")
+_DECILES = ", ".join(f"round(quantile_cont(x, 0.{k}), 6) as p{k}0" for k in range(1, 10))
+
+
+@query(f"""select auction_id, cast(count(*) as double) as n, round(avg(x), 6) as mean, round(var_pop(x) / 1000000, 6) as var, round(stddev_pop(x), 6) as std, min(x) as min, max(x) as max, {_DECILES}, round(sum(x), 6) as sum
+    from (select l_orderkey as auction_id, l_extendedprice as x from lineitem) y group by auction_id""")
 def ag8_score_statistics(v):
     x = v["lineitem"].groupBy(F.col("l_orderkey").alias("auction_id")).agg(F.collect_list("l_extendedprice").alias("x"))
-    return x.select("auction_id", images.score_statistics(F.col("x")).alias("s")).select("auction_id", "s.*")
+    s = x.select("auction_id", images.score_statistics(F.col("x")).alias("s")).select("auction_id", "s.*")
+    return s.select("auction_id", "n", "min", "max", F.round(F.col("var") / 1000000, 6).alias("var"), *(F.round(c, 6).alias(c) for c in s.columns if c not in ("auction_id", "n", "min", "max", "var")))
 
 
 @query("""select lost_id, auction_id, image_final_score, image_matching_confidence, image_blocking_similarity, best_image_file_id from (select l_partkey % 100 as lost_id, l_suppkey as auction_id, (1 - l_discount) * (l_quantity / 50) as image_final_score, 1 - l_discount as image_matching_confidence,
-    l_quantity / 50 as image_blocking_similarity, l_orderkey as best_image_file_id, row_number() over (partition by l_partkey % 100, l_suppkey order by (1 - l_discount) * (l_quantity / 50) desc, 1 - l_discount desc, l_quantity desc, l_orderkey * 8 + l_linenumber) as at from lineitem) x where at = 1""")
+    l_quantity / 50 as image_blocking_similarity, l_orderkey as best_image_file_id, row_number() over (partition by l_partkey % 100, l_suppkey order by (1 - l_discount) * (l_quantity / 50) desc, 1 - l_discount desc, l_quantity desc, l_orderkey * 8 + l_linenumber) as rn from lineitem) x where rn = 1""")
 def ag9_best_of_pair(v):
     x = v["lineitem"].select((F.col("l_partkey") % 100).alias("lost_id"), F.col("l_suppkey").alias("auction_id"), (1 - F.col("l_discount")).alias("confidence"), (F.col("l_quantity") / 50).alias("blocking_score"), F.col("l_orderkey").alias("auction_file_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"))
     return images.best_of_pair(x)
@@ -549,7 +553,7 @@ def so5_unpivot(v):
     return v["works"].select("auction_id", F.expr("stack(2, 'image', image_at, 'metadata', metadata_at) as (kind, at)")).where("at is not null")
 
 
-@query("select source, run_at, total from (select source, run_at, total, row_number() over (partition by source order by run_at desc, total desc) as at from runs) x where at = 1")
+@query("select source, run_at, total from (select source, run_at, total, row_number() over (partition by source order by run_at desc, total desc) as rn from runs) x where rn = 1")
 def wn5_latest_run(v):
     w = Window.partitionBy("source").orderBy(F.desc("run_at"), F.desc("total"))
     return v["runs"].withColumn("at", F.row_number().over(w)).where("at = 1").select("source", "run_at", "total")

@@ -58,4 +58,6 @@ def with_views(query: str) -> str:
     head = ", ".join(f"{n} as ({VIEWS[n]})" for n in named)
     if not head:
         return query
-    return f"with {head}, {query[5:]}" if query.lower().startswith("with ") else f"with {head} {query}"
+    if query.startswith("with recursive "):
+        return f"with recursive {head}, {query[15:]}"
+    return f"with {head}, {query[5:]}" if query.startswith("with ") else f"with {head} {query}"
