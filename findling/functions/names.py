@@ -20,7 +20,7 @@ SEVERAL = frozenset(("und", "and", "&", "or", "sowie"))
 NATIONS = frozenset("german deutsch deutscher dutch niederländisch french französisch italian italienisch english englisch british american flemish austrian swiss spanish russian polish".split())
 
 _YEAR = r"(?:ca?\.?\s*|um\s*|circa\s*|about\s*)?(\d{4})"
-_PLACE = r"([A-ZÀ-Þ][^\d,;()/]*?)"
+_PLACE = r"(ebenda|ebd\.?|ibid\.?|[A-ZÀ-Þ][^\d,;()/]*?)"
 _LIVES = [
     (re.compile(rf"^{_YEAR}\s+{_PLACE}\s*[-–—]\s*{_YEAR}\s+{_PLACE}$"), ("dob", "pob", "dod", "pod")),
     (re.compile(rf"^{_PLACE},?\s+{_YEAR}\s*[-–—]\s*{_YEAR},?\s+{_PLACE}$"), ("pob", "dob", "dod", "pod")),
