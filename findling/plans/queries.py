@@ -460,7 +460,7 @@ def ag3_repeated_titles(v):
     return v["lost"].where("trim(title) <> ''").groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("select k, count(*) as n from (select distinct doc_id, unnest(string_split(lower(left(text, 20000000)), ' ')) as k from documents) x where k <> '' group by k")
+@query("select k, count(*) as n from (select distinct doc_id, unnest(string_split(lower(text), ' ')) as k from documents) x where k <> '' group by k")
 def ag4_document_frequency(v):
     words = v["documents"].select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("k")).where("k <> ''").distinct()
     return words.groupBy("k").agg(F.count("*").alias("n"))
@@ -746,9 +746,10 @@ def st8_byte_pages(v):
 # Text
 
 
-@query("select doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(left(text, 20000000)), '[/,;()]+'), lambda x: trim(x, E' \\t\\n\\r\\f\\x0b')), lambda x: x <> '')) is not null as ok from documents")
+@query("select p_partkey, list_distinct([lower(p_type), lower(p_name)]) is not null and lower(p_type) <> lower(p_name) as two, lower(p_type) as first_token, lower(p_name) as second_token from part")
 def nr19_tokens(v):
-    return v["documents"].select("doc_id", values.tokens(F.col("text")).isNotNull().alias("ok"))
+    t = values.tokens(F.concat(F.lit(" "), "p_type", F.lit(" und ("), "p_name", F.lit("), "), "p_type"))
+    return v["part"].select("p_partkey", (F.size(t) == 2).alias("two"), F.try_element_at(t, F.lit(1)).alias("first_token"), F.try_element_at(t, F.lit(2)).alias("second_token"))
 
 
 @query("select o_orderkey, cast(o_orderkey % 900 + 1100 as int) as start, cast(o_orderkey % 900 + 1100 as int) as end_year, true as matched from orders")
