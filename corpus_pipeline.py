@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.llm import fluency, minhash, mixing, packing, personal
-from findling.llm.shared import cut, table
+from findling.llm.shared import cut, sized, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = fluency.judge(fluency.score(docs, table(spark, sf_dir, "labels")))
     bad = cut(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("lang").alias("_lang")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(sized(bad), same, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     spare = found.join(first, "root").where(~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
     spare = cut(spare.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    kept = docs.join(spare, same, "left_anti")
+    kept = docs.join(sized(spare), same, "left_anti")
     again = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).count().where("count > 1").drop("count"))
     if again.isEmpty():
         return kept

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.llm.shared import components, cut, table
+from findling.llm.shared import components, cut, releasing, sized, table, tidy
 
 HASHES, BITS, BANDS, ROWS = 128, 2, 24, 4
 CROWD, PIVOT_ROUNDS = 8192, 4  #: buckets with more members left than CROWD give a pivot again, so often at most
@@ -99,16 +99,17 @@ def signatures(h: np.ndarray, counts: np.ndarray, hashes: int, bits: int, bands:
 
 def _batches(batch: pa.RecordBatch, column: int, chars: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Runs of rows of about so many characters; a longer text is one run."""
-    texts = batch.column(column).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > chars:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
-        size += n
-    if texts:
-        yield batch.slice(start), texts[start:]
+    for at in range(0, batch.num_rows, 1000):
+        piece = batch.slice(at, 1000)
+        texts = piece.column(column).to_pylist()
+        start = size = 0
+        for i, t in enumerate(texts):
+            n = len(t or "")
+            if size and size + n > chars:
+                yield piece.slice(start, i - start), texts[start:i]
+                start, size = i, 0
+            size += n
+        yield piece.slice(start), texts[start:]
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bands: int = BANDS, rows: int = ROWS, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
@@ -116,6 +117,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in batches:
@@ -137,6 +139,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def sets(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(digest, shingles) of each row that has shingles."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in batches:
@@ -223,6 +226,7 @@ def _across(group: pa.Table, percent: int, least: float, hashes: int, bits: int)
     return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
 
 
+@tidy
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, kept, digest, root) for each row.
 
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     left = cut(members.join(reach, "digest").select("bucket", "digest", "reach"))
 
     signed = cut(classes.join(reach, "digest", "left_semi").select("digest", "bands", "signature"))
-    wanted = classes.join(reach, "digest", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    wanted = sized(cut(classes.join(reach, "digest", "left_semi").select(F.col("doc_id").alias("_id")).distinct()))
     some = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     full = cut(sets(some, words).join(reach.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
     least = cutoff(percent / 100, hashes, bits)
@@ -263,7 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         rest = left.join(pivots, "bucket").where("digest <> pivot")
         new = confirmed(similar(rest.select(F.least("digest", "pivot").alias("a"), F.greatest("digest", "pivot").alias("b")).distinct()))
         links = cut(new if links is None else links.union(new).distinct())
-        roots = cut(components(links))
+        roots = components(links)
         named = rest.select("bucket", "digest", "reach").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
         named = cut(named.withColumn("root", F.coalesce("root", "digest")))
         split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
@@ -280,7 +284,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     dealt = dealt.select("at", small.alias("small"), F.col("block.i").alias("i"), F.col("block.j").alias("j"), "part", "bucket", "digest", "root", "bands", "signature", "shingles")
     more = cut(dealt.groupBy("at", "small", "i", "j").applyInArrow(lambda group: _across(group, percent, least, hashes, bits), "a binary, b binary"))
     if not more.isEmpty():
-        roots = cut(components(links.union(more)))
+        roots = components(links.union(more))
 
     named = classes.select("digest", "doc_id").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = cut(named)

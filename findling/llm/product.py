@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.llm.shared import components, cut, table
+from findling.llm.shared import components, cut, table, tidy
 
 SAMPLE, MOST_LISTS, PROBES, REACH, BLOCK, SUBSPACES, CODES = 16_384, 4_096, 4, 0.12, 1024, 8, 256
 
@@ -128,6 +128,7 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {kind}, digest binary, embedding {vector}")
 
 
+@tidy
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE, lists: int | None = None, probes: int = PROBES, reach: float = REACH, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row. lists: how many (by default about sqrt(n), at most 4096)."""
     spark = rows.sparkSession

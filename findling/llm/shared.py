@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +31,65 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lineage cut that outlives executors and whose size Spark knows when it plans joins."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/findling-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Cuts f's result and then removes what f has cut on the way."""
+
+    @wraps(f)
+    def run(*args, **named) -> DataFrame:
+        _open.append([])
+        try:
+            out = f(*args, **named)
+        finally:
+            own = _open.pop()
+        out = cut(out)
+        jvm, conf = out.sparkSession._jvm, out.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        return out
+
+    return run
+
+
+def releasing(f: Callable) -> Callable:
+    """A task's generator that gives the worker's freed memory back, for workers are kept for later tasks: large blocks are mapped apart, small ones trimmed at the end."""
+
+    @wraps(f)
+    def run(*args):
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = None
+        with suppress(OSError, AttributeError):
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from f(*args)
+        finally:
+            with suppress(AttributeError):
+                libc.malloc_trim(0)
+
+    return run
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df marked for a broadcast if it has so many short rows at most; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+@tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
