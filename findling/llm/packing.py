@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findling.llm.shared import cut, table
+from findling.llm.shared import cut, releasing, table
 
 LENGTH, STEP, CLOSING, GAP, SHARD = 4096, 8, 2, 2e-4, 20_000
-CACHED, LONGEST_CACHED = 700_000, 20
+CACHED, LONGEST_CACHED = 300_000, 16
 
 
 class Encoder(dict):
@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     kind, model = own.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(tokenizer)
     end = np.array([closing], "<u4").tobytes()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(model.value)
         for batch in batches:
@@ -100,6 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         for column, value in zip(out, (k, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(x, pa.int64()) for x in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.clear()
 
     return own.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

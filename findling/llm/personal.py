@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.llm.shared import table
+from findling.llm.shared import releasing, table
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE = KINDS[:4]
@@ -232,6 +232,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model from the candidates of all documents, counted by kind, votes and shape: at most 6 * 2 * 3^5 * 64 rows reach the driver, some hundred in practice."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
         for batch in batches:
@@ -251,6 +252,7 @@ def find(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind, held = own.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [held.value.spans(t.as_py()) for t in batch.column(1)]
@@ -277,6 +279,7 @@ def redact(docs: DataFrame, model: Model, text: str = "text", chars: str | None
     names, held = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [masked(t := x.as_py(), held.value.spans(t)[1]) for x in batch.column(at)]
