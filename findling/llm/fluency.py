@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findling.llm.shared import cut, table
+from findling.llm.shared import cut, releasing, table
 
 CLASSES = 19  #: bits
 SHARD_CHARS, LEAST_SHARD_BITS = 14_000_000, 6
-BLOCK_CHARS, CACHED = 4_000_000, 200_000
+BLOCK_CHARS, CACHED = 2_000_000, 150_000
 PRIOR, QUANTILE, SPREAD = 20, 0.99, 1.5
 BROADCAST_IDS = 4_000_000  #: trusted keys that are broadcast (8 bytes each); more are joined
 SCALE = 1 << 20
@@ -182,6 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     bits = grid(chars)
     shards = 1 << sum(bits)
 
+    @releasing
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, number, part = Classes(), 0, TaskContext.get().partitionId()
 
@@ -206,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in chain.from_iterable(zip(*(c.to_pylist() for c in batch.slice(i, 500).columns), strict=True) for i in range(0, batch.num_rows, 500)):
                 rows.append(row)
                 size += len(row[3] or "")
                 if size >= BLOCK_CHARS:
@@ -215,12 +216,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if rows:
             yield block(rows)
 
-    flow = own.mapInArrow(pack, "shard int, block long, n int, trust binary, data binary").rdd
-    dealt = flow.map(lambda r: (r[0], (r[1], r[2], bytes(r[3]), bytes(r[4])))).partitionBy(shards, lambda s: s)
+    flow = own.mapInArrow(pack, "shard int, block long, n int, trust binary, data binary")
+    dealt = flow.repartitionById(shards, F.col("shard")).rdd
 
+    @releasing
     def stats(rows: Iterator) -> Iterator:
         by: dict[int, list] = {}
-        for s, (_, n, t, data) in rows:
+        for s, _, n, t, data in rows:
             if n > 0:
                 by.setdefault(s, []).append((t, n, data))
         for s, packets in by.items():
@@ -228,9 +230,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     model = spark.sparkContext.broadcast(Model(dict(dealt.mapPartitions(stats).reduceByKey(np.add, (1 << bits[0]) + (1 << bits[1])).toLocalIterator()), bits))
 
+    @releasing
     def scores(rows: Iterator) -> Iterator:
         by: dict[int, list] = {}
-        for s, (name, n, t, data) in rows:
+        for s, name, n, t, data in rows:
             if n > 0:
                 by.setdefault(s, []).append((name, (t, n, data)))
             else:
@@ -249,7 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield r["doc_id"], r["h"], r["lang"], r["n"], r["trusted"], x
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("trusted", T.BooleanType()), T.StructField("log_p", T.LongType())])
-    each = dealt.mapPartitions(scores).reduceByKey(merged, flow.getNumPartitions() or 1)
+    each = dealt.mapPartitions(scores).reduceByKey(merged, max(1, min(shards, -(-chars // SHARD_CHARS))))
     return cut(spark.createDataFrame(each.flatMap(rows_of), schema))
 
 
