@@ -3,14 +3,15 @@
 A sample of at most `sample` vectors (a parameter, the smallest by a hash of their bytes) gives the coarse
 centroids, about sqrt(n) of them, and the codebooks of the residuals' subspaces; every vector is indexed. A vector
 is kept in the inverted list of its nearest centroid with its residual's code and the code's error. A query probes
-each list whose cell it could leave by a step of `reach` towards that cell's bisecting plane (links are steps of at
-most 0.447, which in 64 dimensions point that way by less than 0.06 on average), and no fewer than `probes` lists.
+each list that could hold a link of it, by two bounds that lose none: the angle of a link is at most acos(threshold),
+so that it reaches a list only if the query's angle to the centroid lies within that much of the angles of the
+list's vectors, and only if the plane between the query's own centroid and the list's is no farther than a link.
 In a list, table lookups give the asymmetric distance to each code; what that distance less the code's error
-cannot exclude is compared exactly, in double precision. Recall is measured by the tests against brute force.
+cannot exclude is compared exactly, in double precision. So every link is found.
 
-Equal vectors are one class with a count. Lists and their queries are dealt out in blocks of about `block` vectors,
-so that one crowded list is many tasks; a block returns a count for each query and a spanning forest of the links
-that it found, never its pairs.
+Equal vectors are one class with a count. Near lists are packed into blocks of about `block` vectors, which a query
+reaches once, and a crowded list is dealt out over several, so that it is many tasks; a block returns a count for
+each query and a spanning forest of the links that it found, never its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; vectors of different lengths are not compared; repeated rows link with each other; null ids
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from findling.llm.shared import components, cut, table, tidy
 
-SAMPLE, MOST_LISTS, PROBES, REACH, BLOCK, SUBSPACES, CODES = 16_384, 4_096, 4, 0.12, 1024, 8, 256
+SAMPLE, MOST_LISTS, BLOCK, SUBSPACES, CODES = 16_384, 4_096, 4096, 8, 256
+SLACK = 1e-6  #: of angles and distances, for rounding
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -67,16 +69,19 @@ class Index:
         left = np.concatenate([residual[:, p] - b[codes[:, j]] for j, (p, b) in enumerate(zip(self.parts, self.books, strict=True))], axis=1)
         return own, codes, np.linalg.norm(left, axis=1)
 
-    def probe(self, x: np.ndarray, probes: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, list)."""
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        """From vectors to all centroids."""
+        return np.arccos(np.clip(x @ self.coarse.T, -1, 1))
+
+    def probe(self, x: np.ndarray, threshold: float, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which lists could hold a link of each row. least, most: the angles of each list's vectors to its centroid."""
         near = x @ self.coarse.T
-        own = near.argmax(1)
-        wanted = (near[np.arange(len(x)), own][:, None] - near) / self.apart[own] <= reach
-        if probes < near.shape[1]:
-            np.put_along_axis(wanted, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
-        else:
-            wanted[:] = True
-        return np.nonzero(wanted)
+        angle, own, link = np.arccos(np.clip(near, -1, 1)), nearest(x, self.coarse), np.arccos(np.clip(threshold, -1, 1)) + SLACK
+        plane = (near[np.arange(len(x)), own][:, None] - near) / self.apart[own]
+        if (self.coarse * self.coarse).sum(1).min() < 0.5:  # a zero centroid: no plane through the origin
+            plane[:] = 0
+        step = np.sin(link) if link < np.pi / 2 else 2.0
+        return (angle >= least - link) & (angle <= most + link) & (plane <= step + SLACK)
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """From queries to the codes of list `at`, looked up in a table for each subspace."""
@@ -87,6 +92,26 @@ class Index:
         return np.sqrt(total)
 
 
+def packed(sizes: np.ndarray, index: Index, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each list and how many it is dealt over: crowded lists have blocks of their own, others share one with near lists."""
+    first, parts, at, filled, left = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0, sizes > 0
+    here = 0
+    while left.any():
+        here = int(np.where(left, index.apart[here], np.inf).argmin())
+        left[here] = False
+        if sizes[here] > block:
+            at += filled > 0
+            parts[here] = -(-sizes[here] // block)
+            first[here], filled = at, 0
+            at += parts[here]
+        else:
+            if filled + sizes[here] > block:
+                at, filled = at + 1, 0
+            first[here] = at
+            filled += sizes[here]
+    return first, parts
+
+
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest node of each node's component."""
     root = np.arange(n)
@@ -129,14 +154,14 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 @tidy
-def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE, lists: int | None = None, probes: int = PROBES, reach: float = REACH, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE, lists: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row. lists: how many (by default about sqrt(n), at most 4096)."""
     spark = rows.sparkSession
     each = cut(classes(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"))))
     found = cut(each.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
     out = None
     for dims, n in sorted(tuple(r) for r in found.groupBy(F.size("embedding").alias("d")).count().collect()):
-        part = _links(spark, found.where(F.size("embedding") == dims), n, threshold, sample, lists or min(MOST_LISTS, max(1, round(n**0.5))), probes, reach, block)
+        part = _links(spark, found.where(F.size("embedding") == dims), n, threshold, sample, lists or min(MOST_LISTS, max(1, round(n**0.5))), block)
         out = part if out is None else out.union(part)
     if out is None:
         return each.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -151,7 +176,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return each.select("vec_id", "digest").join(named, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, sample: int, lists: int, probes: int, reach: float, block: int) -> DataFrame:
+def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, sample: int, lists: int, block: int) -> DataFrame:
     """(a, null, links to other classes) and (a, b, 0) for the edges of spanning forests."""
     few = found.select("digest", "embedding").orderBy(F.xxhash64("digest"), "digest").limit(sample).select("embedding").toArrow()
     _, unit = _unit(few.column(0).combine_chunks())
@@ -161,26 +186,41 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                own, codes, errors = index.value.add(_unit(part.column(1))[1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)], ["digest", "embedding", "copies", "list", "code", "error"])
+                unit = _unit(part.column(1))[1]
+                own, codes, errors = index.value.add(unit)
+                angles = index.value.angles(unit)[np.arange(len(own)), own]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors), pa.array(angles)], ["digest", "embedding", "copies", "list", "code", "error", "angle"])
+
+    vector = found.schema["embedding"].dataType.simpleString()
+    members = cut(found.select("digest", "embedding", "copies").mapInArrow(place, f"digest binary, embedding {vector}, copies long, list int, code binary, error double, angle double"))
+    # one row for each list, of which there are 4096 at most
+    size, least, most = (np.zeros(len(index.value.coarse)) for _ in range(3))
+    for at, *about in members.groupBy("list").agg(F.count("*"), F.min("angle"), F.max("angle")).collect():
+        size[at], least[at], most[at] = about
+    least[size == 0] = np.inf
+    first, parts = packed(size.astype(int), index.value, block)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                at, to = index.value.probe(_unit(part.column(1))[1], probes, reach)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(to, pa.int32())], ["digest", "embedding", "list"])
-
-    vector = found.schema["embedding"].dataType.simpleString()
-    members = cut(found.select("digest", "embedding", "copies").mapInArrow(place, f"digest binary, embedding {vector}, copies long, list int, code binary, error double"))
-    queries = found.select("digest", "embedding").mapInArrow(probe, f"digest binary, embedding {vector}, list int")
+                wanted = index.value.probe(_unit(part.column(1))[1], threshold, least, most)
+                reached = np.zeros((len(wanted), total), bool)
+                for to in np.flatnonzero(wanted.any(0)):
+                    reached[:, first[to] : first[to] + parts[to]] |= wanted[:, to, None]
+                for lo in range(0, total, 64):
+                    at, to = np.nonzero(reached[:, lo : lo + 64])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(to + lo, pa.int32())], ["digest", "embedding", "at"])
+
+    total = int((first + parts).max())
+    queries = found.select("digest", "embedding").mapInArrow(probe, f"digest binary, embedding {vector}, at int")
     dealt = lambda m: F.pmod(F.xxhash64("digest"), m)
-    # one row for each list, of which there are 4096 at most
-    crowd = F.broadcast(members.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    asked = F.broadcast(cut(queries.select("list").groupBy("list").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("asks"))))
+    where = F.broadcast(spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int"))
+    asked = F.broadcast(cut(queries.groupBy("at").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("asks"))))
     none = lambda kind: F.lit(None).cast(kind)
-    m = members.join(crowd, "list").join(asked, "list").select("list", dealt(F.col("blocks")).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "digest", "embedding", "copies", "code", "error")
-    q = queries.join(crowd, "list").join(asked, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), dealt(F.col("asks")).cast("int").alias("ask"), "digest", "embedding", none("long").alias("copies"), none("binary").alias("code"), none("double").alias("error"))
+    m = members.join(where, "list").withColumn("at", (F.col("first") + dealt(F.col("parts"))).cast("int")).join(asked, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "digest", "embedding", "list", "copies", "code", "error")
+    q = queries.join(asked, "at").select("at", dealt(F.col("asks")).cast("int").alias("ask"), "digest", "embedding", none("int").alias("list"), none("long").alias("copies"), none("binary").alias("code"), none("double").alias("error"))
     step = (2 - 2 * threshold) ** 0.5
 
     def search(group: pa.Table) -> pa.Table:
@@ -195,17 +235,21 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
         errors, copies = own.column("error").to_numpy(), own.column("copies").to_numpy()
         names = {d: i for i, d in enumerate(own.column("digest").to_pylist())}
         ids = [names.setdefault(d, len(names)) for d in asks.column("digest").to_pylist()]
-        ids, at, counts, froms, tos = np.array(ids), group.column("list")[0].as_py(), np.zeros(len(v), np.int64), [], []
+        ids, lists, counts, froms, tos = np.array(ids), own.column("list").to_numpy(), np.zeros(len(v), np.int64), [], []
+        inside = [(at, np.flatnonzero(lists == at)) for at in np.unique(lists)]
         for i in range(0, len(v), 512):
-            far = index.value.distances(v[i : i + 512], at, codes)
-            row, col = np.nonzero(far <= step + errors + 1e-6)
-            for j in range(0, len(row), 65_536):
-                r, c = row[j : j + 65_536] + i, col[j : j + 65_536]
-                link = (np.einsum("ij,ij->i", v[r], u[c]) >= threshold) & (ids[r] != c)
-                r, c = r[link], c[link]
-                np.add.at(counts, r, copies[c])
-                froms.append(ids[r])
-                tos.append(c)
+            wanted = index.value.probe(v[i : i + 512], threshold, least, most)
+            for at, held in inside:
+                asking = np.flatnonzero(wanted[:, at])
+                far = index.value.distances(v[i + asking], at, codes[held])
+                row, col = np.nonzero(far <= step + errors[held] + SLACK)
+                for j in range(0, len(row), 65_536):
+                    r, c = asking[row[j : j + 65_536]] + i, held[col[j : j + 65_536]]
+                    link = (np.einsum("ij,ij->i", v[r], u[c]) >= threshold) & (ids[r] != c)
+                    r, c = r[link], c[link]
+                    np.add.at(counts, r, copies[c])
+                    froms.append(ids[r])
+                    tos.append(c)
         froms, tos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (froms, tos))
         root, digests = spanning(len(names), froms, tos), list(names)
         joined, some = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(counts)
@@ -213,7 +257,7 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
         b = [None] * len(some) + [digests[root[i]] for i in joined]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([*counts[some], *([0] * len(joined))], pa.int64())})
 
-    return m.union(q).groupBy("list", "at", "ask").applyInArrow(search, "a binary, b binary, n long")
+    return m.union(q).groupBy("at", "ask").applyInArrow(search, "a binary, b binary, n long")
 
 
 def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,23 @@ def test_vectors_against_all_pairs(spark):
     assert product.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [2, 4, 8])
+def test_no_link_of_a_crowded_group_is_lost(spark, spread):
+    """A large group that varies in few of 64 directions: every link is found."""
+    r = np.random.default_rng(spread)
+    basis = np.linalg.qr(r.normal(size=(64, spread + 1)))[0]
+    group = basis[:, 0] + 0.4 * (r.normal(size=(900, spread)) @ basis[:, 1:].T)
+    x = np.concatenate([group, r.normal(size=(1100, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = product.spanning(len(u), *np.nonzero(near))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block in (128, product.BLOCK):
+        got = {a: (n, c) for a, n, c, _ in product.near_vectors(rows, block=block).collect()}
+        assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(u))}
+
+
 def test_asymmetric_distances_bound_exact_ones():
     r = np.random.default_rng(5)
     x = r.normal(size=(500, 16))
