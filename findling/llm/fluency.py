@@ -1,13 +1,15 @@
 """Quality by an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are hashed to 2^19 classes, so that everything kept by word (context totals, numbers of followers seen once,
-twice and more often, numbers of left neighbours) has a fixed size of some ten megabytes and can be broadcast. The
-bigram counts grow with the corpus and are never gathered: each bigram goes to a shard by low bits of both its
-classes (a grid, so that neither a frequent word nor a frequent pair fills one shard; more text, more shards), four
-bytes each, packed by blocks of documents. A shard counts the trusted bigrams it holds; the counts' totals by class
-are summed over shards; then the shard joins its documents' bigrams with its counts and returns one number for each
-document, summed over shards. The shuffle of packed bigrams is made once and read by both jobs, which is why this
-module uses RDD operations for it. Sums are integers, so results do not depend on the order of arrival.
+Words are keyed by `WORD` bits of a hash, so many that different words all but never share a key. Neither the bigram
+counts nor what is kept by word (context totals, numbers of followers seen once, twice and more often, numbers of
+left neighbours) is ever gathered, for both grow with the corpus. Each bigram goes to a shard by low bits of both its
+words (a grid, so that neither a frequent word nor a frequent pair fills one shard; more text, more shards), ten
+bytes each, packed by blocks of documents. A shard counts the trusted bigrams it holds and asks for each of its words:
+words are dealt into as many parts as there are shards, a part sums what the shards have counted for a word and
+answers each shard that asked. Then the shard joins its documents' bigrams with its counts and the answers and
+returns one number for each document, summed over shards. The shuffle of packed bigrams is made once and read by all
+jobs, which is why this module uses RDD operations for it. Sums are integers, so results do not depend on the order
+of arrival.
 
 A trusted document is judged without its own counts (leave one out). Perplexities are pulled towards their
 language's mean as if by `PRIOR` more words; a document is rejected when it lies above `SPREAD` times the distance
@@ -33,7 +35,9 @@ from pyspark.sql import types as T
 
 from findling.llm.shared import cut, releasing, table
 
-CLASSES = 19  #: bits
+CLASSES = 19  #: the uniform base of the lower order has 2^19 words, or the different words of all documents if they are more
+WORD = 42  #: bits of a word's key; two more than a bigram's ten bytes hold, as shards tell at least two of each word
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SHARD_CHARS, LEAST_SHARD_BITS = 14_000_000, 6
 BLOCK_CHARS, CACHED = 2_000_000, 150_000
 PRIOR, QUANTILE, SPREAD = 20, 0.99, 1.5
@@ -43,77 +47,85 @@ SCALE = 1 << 20
 
 class Classes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> (64 - CLASSES)
+        self[word] = h = max(1, xxhash.xxh3_64_intdigest(word) >> (64 - WORD))
         return h
 
 
 def grid(chars: int) -> tuple[int, int]:
-    """Shard bits taken from the first and from the second class of a bigram."""
+    """Shard bits taken from the first and from the second word of a bigram."""
     bits = max(LEAST_SHARD_BITS, int(np.ceil(np.log2(max(1, chars / SHARD_CHARS)))))
     return bits - bits // 3, bits // 3
 
 
 def bigrams(texts: list[str | None], cache: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both classes of all bigrams of all texts (the first word follows class 0), and each text's number of words."""
+    """Both words of all bigrams of all texts (the first word follows 0), and each text's number of words."""
     if len(cache) > CACHED:
         cache.clear()
     split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    second = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint32, int(sizes.sum()))
-    first = np.concatenate([np.zeros(1, np.uint32), second[:-1]]) if len(second) else second
+    second = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+    first = np.concatenate([np.zeros(1, np.uint64), second[:-1]]) if len(second) else second
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
     return first, second, sizes
 
 
 def packed(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, bits: tuple[int, int]) -> Iterator[tuple[int, bytes]]:
-    """(shard, counts of each document's bigrams there, then the bigrams as 32-bit keys)."""
-    a, b = bits
-    shard = ((first & ((1 << a) - 1)) << b | second & ((1 << b) - 1)).astype(np.uint16 if a + b <= 16 else np.uint32)
-    key = ((first >> a).astype(np.uint64) << np.uint64(CLASSES - b) | (second >> b).astype(np.uint64)).astype(np.uint32)
+    """(shard, counts of each document's bigrams there, then the lower and the upper bits of the words that the shard does not tell)."""
+    a, b = map(np.uint64, bits)
+    one, low = np.uint64(1), np.uint64(0xFFFFFFFF)
+    shard = ((first & ((one << a) - one)) << b | second & ((one << b) - one)).astype(np.uint16 if sum(bits) <= 16 else np.uint32)
     order = np.argsort(shard, kind="stable")
-    doc = np.repeat(np.arange(len(sizes)), sizes)[order]
-    key, shard = key[order], shard[order]
-    ends = np.searchsorted(shard, np.arange((1 << a + b) + 1))
-    for s in range(1 << a + b):
-        lo, hi = ends[s], ends[s + 1]
-        if hi > lo:
-            yield s, np.bincount(doc[lo:hi], minlength=len(sizes)).astype(np.uint32).tobytes() + key[lo:hi].tobytes()
-
-
-def unpacked(shard: int, key: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = bits
-    return (key >> np.uint32(CLASSES - b)) << np.uint32(a) | np.uint32(shard >> b), (key & np.uint32((1 << CLASSES - b) - 1)) << np.uint32(b) | np.uint32(shard & ((1 << b) - 1))
+    doc, shard, v, w = np.repeat(np.arange(len(sizes)), sizes)[order], shard[order], first[order] >> a, second[order] >> b
+    high = ((v >> np.uint64(32)) << np.uint64(8) | w >> np.uint64(32)).astype(np.uint16)
+    v, w = (v & low).astype(np.uint32), (w & low).astype(np.uint32)
+    ends = np.searchsorted(shard, np.arange((1 << sum(bits)) + 1))
+    for s in range(1 << sum(bits)):
+        at = slice(ends[s], ends[s + 1])
+        if at.stop > at.start:
+            yield s, b"".join(x.tobytes() for x in (np.bincount(doc[at], minlength=len(sizes)).astype(np.uint32), v[at], w[at], high[at]))
+
+
+class Shard:
+    """The bigrams of one shard. packets: (trusted documents' bits, documents, packed bigrams)."""
+
+    def __init__(self, shard: int, packets: list[tuple[bytes, int, bytes]], bits: tuple[int, int]):
+        a, b = bits
+        self.sizes, self.trusted, v, w = [], [], [], []
+        for trust, n, data in packets:
+            sizes = np.frombuffer(data, np.uint32, n)
+            t = int(sizes.sum())
+            high = np.frombuffer(data, np.uint16, t, 4 * n + 8 * t).astype(np.uint64)
+            v.append((np.frombuffer(data, np.uint32, t, 4 * n) | (high >> np.uint64(8)) << np.uint64(32)) << np.uint64(a) | np.uint64(shard >> b))
+            w.append((np.frombuffer(data, np.uint32, t, 4 * n + 4 * t) | (high & np.uint64(255)) << np.uint64(32)) << np.uint64(b) | np.uint64(shard & ((1 << b) - 1)))
+            self.sizes.append(sizes)
+            self.trusted.append(np.repeat(np.unpackbits(np.frombuffer(trust, np.uint8), count=n).astype(bool), sizes))
+        v, w, trusted = np.concatenate(v), np.concatenate(w), np.concatenate(self.trusted)
+        self.key = v * MIX + w
+        self.v, self.at_v = np.unique(v, return_inverse=True)  #: different words, and where each bigram's are among them
+        self.w, self.at_w = np.unique(w, return_inverse=True)
+        self.keys, some, self.counts = np.unique(self.key[trusted], return_index=True, return_counts=True)
+        some = np.flatnonzero(trusted)[some]
+        self.first, self.second = self.at_v[some], self.at_w[some]
+
+    def count(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.counts[at], 0)
 
 
-def counted(packets: list[tuple[bytes, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trusted bigrams of one shard and their counts. packets: (trusted documents' bits, documents, packed bigrams)."""
-    own = []
-    for trust, n, data in packets:
-        sizes = np.frombuffer(data, np.uint32, n)
-        flags = np.unpackbits(np.frombuffer(trust, np.uint8), count=n).astype(bool)
-        own.append(np.frombuffer(data, np.uint32, offset=4 * n)[np.repeat(flags, sizes)])
-    return np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+class Model:
+    """The discounts; with a shard's answers, what is kept by word: `total` of each context, `seen` (followers seen once, twice, more often), `left` (different words before it)."""
 
+    def __init__(self, sums: np.ndarray):
+        """sums: bigrams seen once to four times; words with one to four and with more than two left neighbours; all left neighbours; words."""
+        self.cut, self.lower_cut = self._discounts(sums[:4].astype(float)), self._discounts(sums[4:8].astype(float))
+        self.pairs, n = float(sums[9]), max(1 << CLASSES, int(sums[10]))
+        self.lower_rest = float(self.lower_cut[1:] @ sums[[4, 5, 8]]) / self.pairs / n if self.pairs else 1 / n
 
-class Model:
-    """What is kept by class: `total` of each context, `seen` (followers seen once, twice, more often), `left` (different words before it)."""
-
-    def __init__(self, stats: dict[tuple, np.ndarray], bits: tuple[int, int]):
-        n, (a, b) = 1 << CLASSES, bits
-        self.total, self.seen, self.left, tally = np.zeros(n), np.zeros((3, n)), np.zeros(n), np.zeros(4)
-        for (what, part), x in stats.items():
-            if what == "v":
-                self.total[part :: 1 << a], self.seen[:, part :: 1 << a] = x[0], x[1:]
-            elif what == "w":
-                self.left[part :: 1 << b] = x
-            else:
-                tally = x.astype(float)
-        self.cut = self._discounts(tally)
-        self.pairs = self.left.sum()
-        lower = np.bincount(np.minimum(self.left, 5).astype(int), minlength=6)[1:5].astype(float)
-        self.lower_cut = self._discounts(lower)
-        parts = [np.count_nonzero(self.left == k) for k in (1, 2)] + [np.count_nonzero(self.left > 2)]
-        self.lower_rest = float(self.lower_cut[1:] @ parts) / self.pairs / n if self.pairs else 1 / n
+    def answered(self, of_v: np.ndarray, of_w: np.ndarray) -> Model:
+        self.total, self.seen, self.left = of_v[0].astype(float), of_v[1:].astype(float), of_w[0].astype(float)
+        return self
 
     @staticmethod
     def _discounts(n: np.ndarray) -> np.ndarray:
@@ -123,7 +135,7 @@ class Model:
         return np.array([0, np.clip(1 - 2 * y * n2 / n1, 0.1, 0.95), np.clip(2 - 3 * y * n3 / n2, 0.1, 1.9), np.clip(3 - 4 * y * n4 / n3, 0.1, 2.9)])
 
     def word(self, w: np.ndarray, less: np.ndarray) -> np.ndarray:
-        """The lower order: how many different words it follows, interpolated with all classes alike; less: own contributions."""
+        """The lower order: how many different words it follows, interpolated with all words alike; less: own contributions."""
         n = np.maximum(self.left[w] - less, 0)
         return np.maximum(n - self.lower_cut[np.minimum(n, 3).astype(int)], 0) / max(self.pairs, 1) + self.lower_rest
 
@@ -140,31 +152,78 @@ class Model:
         return np.log(np.maximum(np.where(known & (rest > 0), p, np.where(known, np.maximum(p, low * 1e-2), low)), 1e-12))
 
 
-def _stats(shard: int, packets: list, bits: tuple[int, int]) -> Iterator[tuple[tuple, np.ndarray]]:
-    keys, counts = counted(packets)
-    (a, b), n = bits, 1 << CLASSES
-    v, w = unpacked(shard, keys, bits)
-    rows = v >> np.uint32(a)
-    yield ("v", shard >> b), np.stack([np.bincount(rows, weights, n >> a) for weights in (counts, counts == 1, counts == 2, counts > 2)]).astype(np.int32)
-    yield ("w", shard & ((1 << b) - 1)), np.bincount(w >> np.uint32(b), minlength=n >> b).astype(np.int32)
-    yield ("t", 0), np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+def _parts(words: np.ndarray, bits: int, more: int) -> np.ndarray:
+    """The part of each word of a shard, of 2^more: the bits above those that the shard tells."""
+    return (words >> np.uint64(bits) & np.uint64((1 << more) - 1)).astype(np.int64)
+
+
+def _asks(number: int, shard: Shard, bits: tuple[int, int]) -> Iterator[tuple[int, tuple]]:
+    """(part, (shard, words, what the shard has counted of them)): contexts in even parts, followers in odd ones; and what it has of bigrams."""
+    (a, b), c = bits, shard.counts
+    of_v = np.stack([np.bincount(shard.first, weights, len(shard.v)) for weights in (c, c == 1, c == 2, c > 2)]).astype(np.int32)
+    of_w = np.bincount(shard.second, minlength=len(shard.w)).astype(np.int32)[None]
+    for side, words, own, part, at, more in ((0, shard.v, of_v, number >> b, a, b), (1, shard.w, of_w, number & ((1 << b) - 1), b, a)):
+        parts = _parts(words, at, more)
+        for k in np.unique(parts):
+            yield (part << more | int(k)) << 1 | side, (number, words[parts == k].tobytes(), own[:, parts == k].tobytes())
+    yield -1, (number, b"", np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64).tobytes())
+
+
+def _summed(asks: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums over shards by word, and the place of each asked word among them."""
+    words, back = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in asks]), return_inverse=True)
+    own = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, len(k) // 8) for _, k, x in asks], axis=1)
+    return np.stack([np.bincount(back, x, len(words)) for x in own]).astype(np.int64), back
+
+
+def _sums(asks: dict[int, list]) -> np.ndarray:
+    """What Model takes, of some parts."""
+    out = np.zeros(11, np.int64)
+    for part, own in asks.items():
+        if part < 0:
+            out[:4] += sum(np.frombuffer(x, np.int64) for _, _, x in own)
+        elif part & 1:
+            left = _summed(own)[0][0]
+            out[4:8] += np.bincount(np.minimum(left, 5), minlength=6)[1:5]
+            out[8:] += np.count_nonzero(left > 2), left.sum(), len(left)
+    return out
 
 
-def _scores(shard: int, packets: list, model: Model, bits: tuple[int, int]) -> Iterator[np.ndarray]:
+def _answers(asks: dict[int, list]) -> Iterator[tuple[int, tuple[int, bytes]]]:
+    """(shard, (part, the sums of the words it asked for))."""
+    for part, own in asks.items():
+        if part >= 0:
+            (sums, back), at = _summed(own), 0
+            for number, words, _ in own:
+                n = len(words) // 8
+                yield number, (part, sums[:, back[at : at + n]].tobytes())
+                at += n
+
+
+def _scores(number: int, shard: Shard, answers: list[tuple[int, bytes]], model: Model, bits: tuple[int, int]) -> Iterator[np.ndarray]:
     """For each packet the scaled log probabilities of its documents' bigrams in this shard."""
-    keys, counts = counted(packets)
-    for trust, n, data in packets:
-        sizes, key = np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, offset=4 * n)
-        doc = np.repeat(np.arange(n), sizes)
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        count = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(len(key), np.int64)
+    a, b = bits
+    tables = [np.zeros((4, len(shard.v)), np.int64), np.zeros((1, len(shard.w)), np.int64)]
+    parts = _parts(shard.v, a, b), _parts(shard.w, b, a)
+    for part, data in answers:
+        side, more = part & 1, a if part & 1 else b
+        tables[side][:, parts[side] == (part >> 1 & ((1 << more) - 1))] = np.frombuffer(data, np.int64).reshape(len(tables[side]), -1)
+    model.answered(*tables)
+    at = 0
+    for sizes, mine in zip(shard.sizes, shard.trusted, strict=True):
+        doc, here = np.repeat(np.arange(len(sizes)), sizes), slice(at, at + len(mine))
+        at += len(mine)
+        key = shard.key[here]
         own = np.zeros(len(key), np.int64)
-        mine = np.unpackbits(np.frombuffer(trust, np.uint8), count=n).astype(bool)[doc]
         if mine.any():
-            _, back, times = np.unique(doc[mine].astype(np.uint64) << np.uint64(32) | key[mine], return_inverse=True, return_counts=True)
-            own[mine] = times[back]
-        v, w = unpacked(shard, key, bits)
-        yield np.bincount(doc, np.rint(model.logs(v, w, count, own) * SCALE), n).astype(np.int64)
+            order = np.lexsort((key[mine], doc[mine]))
+            k, d = key[mine][order], doc[mine][order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+            group = np.cumsum(new) - 1
+            times = np.empty(len(k), np.int64)
+            times[order] = np.bincount(group)[group]
+            own[mine] = times
+        yield np.bincount(doc, np.rint(model.logs(shard.at_v[here], shard.at_w[here], shard.count(key), own) * SCALE), len(sizes)).astype(np.int64)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", trust: str = "quality") -> DataFrame:
@@ -219,28 +278,42 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     flow = own.mapInArrow(pack, "shard int, block long, n int, trust binary, data binary")
     dealt = flow.repartitionById(shards, F.col("shard")).rdd
 
-    @releasing
-    def stats(rows: Iterator) -> Iterator:
+    def by_key(rows: Iterator) -> dict[int, list]:
         by: dict[int, list] = {}
-        for s, _, n, t, data in rows:
-            if n > 0:
-                by.setdefault(s, []).append((t, n, data))
-        for s, packets in by.items():
-            yield from _stats(s, packets, bits)
+        for k, x in rows:
+            by.setdefault(k, []).append(x)
+        return by
 
-    model = spark.sparkContext.broadcast(Model(dict(dealt.mapPartitions(stats).reduceByKey(np.add, (1 << bits[0]) + (1 << bits[1])).toLocalIterator()), bits))
+    @releasing
+    def asks(rows: Iterator) -> Iterator:
+        for s, packets in by_key((s, (t, n, data)) for s, _, n, t, data in rows if n > 0).items():
+            yield from _asks(s, Shard(s, packets, bits), bits)
 
     @releasing
-    def scores(rows: Iterator) -> Iterator:
-        by: dict[int, list] = {}
-        for s, name, n, t, data in rows:
-            if n > 0:
-                by.setdefault(s, []).append((name, (t, n, data)))
-            else:
-                yield name, (data, None)
-        for s, named in by.items():
-            for (name, _), x in zip(named, _scores(s, [p for _, p in named], model.value, bits), strict=True):
-                yield name, (None, x)
+    def sums(rows: Iterator) -> Iterator:
+        yield _sums(by_key(rows))
+
+    @releasing
+    def answers(rows: Iterator) -> Iterator:
+        yield from _answers(by_key(rows))
+
+    asked = dealt.mapPartitions(asks).partitionBy(shards, lambda part: part >> 1)
+    model = spark.sparkContext.broadcast(Model(sum(asked.mapPartitions(sums).toLocalIterator())))
+    answered = asked.mapPartitions(answers).partitionBy(shards, lambda s: s)
+
+    @releasing
+    def scores(pairs: Iterator) -> Iterator:
+        for rows, found in pairs:
+            by, told = {}, by_key(found)
+            for s, name, n, t, data in rows:
+                if n > 0:
+                    by.setdefault(s, []).append((name, (t, n, data)))
+                else:
+                    yield name, (data, None)
+            for s, named in by.items():
+                shard = Shard(s, [p for _, p in named], bits)
+                for (name, _), x in zip(named, _scores(s, shard, told[s], model.value, bits), strict=True):
+                    yield name, (None, x)
 
     def merged(x: tuple, y: tuple) -> tuple:
         return x[0] or y[0], y[1] if x[1] is None else x[1] if y[1] is None else x[1] + y[1]
@@ -251,8 +324,11 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for r, x in zip(found, total.tolist() if total is not None else [0] * len(found), strict=True):
             yield r["doc_id"], r["h"], r["lang"], r["n"], r["trusted"], x
 
+    def whole(rdd):
+        return rdd.mapPartitions(lambda rows: [list(rows)])
+
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("trusted", T.BooleanType()), T.StructField("log_p", T.LongType())])
-    each = dealt.mapPartitions(scores).reduceByKey(merged, max(1, min(shards, -(-chars // SHARD_CHARS))))
+    each = whole(dealt.map(tuple)).zip(whole(answered)).mapPartitions(scores).reduceByKey(merged, max(1, min(shards, -(-chars // SHARD_CHARS))))
     return cut(spark.createDataFrame(each.flatMap(rows_of), schema))
 
 

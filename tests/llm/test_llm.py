@@ -445,6 +445,23 @@ def test_quality_against_a_plain_model(spark):
         assert got[i] == pytest.approx(logp, abs=1e-3)
 
 
+def test_different_words_never_share_a_count(spark):
+    """Two words that 2^19 classes cannot tell apart: text of the one does not make the other known."""
+    import xxhash
+
+    seen = {}
+    for i in range(20_000):
+        h = xxhash.xxh3_64_intdigest(b"w%d" % i) >> 45
+        if h in seen:
+            break
+        seen[h] = i
+    x, y = f"w{seen[h]}", f"w{i}"
+    rows = [(k, f"{x} and {x} or {x} not {k}", "en", "a", 1) for k in range(20)] + [(50, x, "en", "a", 1), (51, y, "en", "a", 1), (52, "unheard", "en", "a", 1)]
+    marks = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["log_p"] for r in fluency.score(spark.createDataFrame(rows, SCHEMA), marks).collect()}
+    assert got[51] == got[52] < got[50]
+
+
 # The pipeline
 
 
