@@ -100,7 +100,7 @@ def loose_spans(text: str, digits: bool) -> list[tuple[str, int, int]]:
         out += [("ip", *m.span()) for m in _IP.finditer(text)]
         out += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
         out += [("id", *m.span()) for m in _ID.finditer(text)]
-    if "at" in text and ("(" in text or "[" in text):
+    if ("(" in text or "[" in text) and "at" in text.lower():
         out += [("email", *m.span()) for m in _SPELT.finditer(text)]
     for title in TITLES:
         at = text.find(title)

@@ -96,6 +96,11 @@ def test_personal_base_spans(alphabet):
         assert slow_personal(text) == sorted(personal.base_spans(text)), text
 
 
+def test_personal_candidates_in_capitals():
+    text = "MAIL JOHN.SMITH [AT] EXAMPLE [DOT] COM"
+    assert [(k, text[s:e]) for k, s, e, *_ in personal.candidates(text)[1]] == [("email", text[5:])]
+
+
 def test_personal_model_adds_and_keeps(spark, docs):
     rows = [(i, f"call me at +1 (555) 010-{1000 + i} or mail p{i}@x.org, card 4111 1111 1111 1111", "en", "a", 1) for i in range(40)] + [(100 + i, f"item {i} order 123456789012{i % 10}", "en", "a", 1) for i in range(40)] + [(200, "phone: (555) 010 2233 and name is Maria Lopez", "en", "a", 1)]
     own = spark.createDataFrame(rows, SCHEMA)
