@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 ROOT = "unbekannt"
 
 
-def root_paths(nodes: DataFrame, name: str = "name", parent: str = "parent", depth: int = 16) -> DataFrame:
+def root_paths(nodes: DataFrame, name: str = "name", parent: str = "parent") -> DataFrame:
     """(name, path): the path from the node to its root, by as many joins as the tree is deep; a cycle ends where it closes."""
     edges = nodes.select(F.col(name).alias("_n"), F.col(parent).alias("_p"))
     paths = nodes.select(F.col(name).alias("name"), F.array(name).alias("path"), F.col(parent).alias("up"))
-    for _ in range(depth):
-        if paths.where("up is not null").isEmpty():
-            break
+    while not paths.where("up is not null").isEmpty():
         x = paths.join(edges, F.col("up") == F.col("_n"), "left")
         open_ = F.col("up").isNotNull() & ~F.array_contains("path", F.col("up"))
         paths = x.select("name", F.when(open_, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"), F.when(open_, F.col("_p")).alias("up"))
@@ -53,26 +51,17 @@ def depth_confidence(paths: DataFrame, root: str = ROOT) -> DataFrame:
     return paths.crossJoin(F.broadcast(deep)).select("name", F.when((F.lower("name") == root.lower()) | (F.col("m") <= 0), F.lit(0.0)).otherwise(depth / F.col("m")).alias("confidence"))
 
 
-def ancestors(starts: DataFrame, nodes: DataFrame, name: str = "name", parent: str = "parent", depth: int = 16) -> DataFrame:
+def ancestors(starts: DataFrame, nodes: DataFrame, name: str = "name", parent: str = "parent") -> DataFrame:
     """(name): the nodes and everything above them, each once."""
-    found = front = starts.select(F.col(starts.columns[0]).alias("name")).distinct()
-    for _ in range(depth):
-        front = front.join(nodes.select(F.col(name).alias("name"), F.col(parent).alias("_p")), "name").where("_p is not null").select(F.col("_p").alias("name")).distinct().join(found, "name", "left_anti")
-        if front.isEmpty():
-            break
-        found = found.union(front)
-    return found
+    first = starts.select(F.col(starts.columns[0]).alias("name")).distinct()
+    return first.union(root_paths(nodes, name, parent).join(first, "name").select(F.explode("path").alias("name"))).distinct()
 
 
-def tree_faults(nodes: DataFrame, name: str = "name", parent: str = "parent", depth: int = 16) -> DataFrame:
+def tree_faults(nodes: DataFrame, name: str = "name", parent: str = "parent") -> DataFrame:
     """(name, fault): parents that do not exist, and nodes that no root reaches."""
     missing = nodes.join(nodes.select(F.col(name).alias("_n")), F.col(parent) == F.col("_n"), "left_anti").where(F.col(parent).isNotNull()).select(F.col(name).alias("name"), F.lit("no parent").alias("fault"))
-    reached = front = nodes.where(F.col(parent).isNull()).select(F.col(name).alias("name"))
-    for _ in range(depth):
-        front = nodes.join(front.select(F.col("name").alias("_f")), F.col(parent) == F.col("_f")).select(F.col(name).alias("name")).join(reached, "name", "left_anti")
-        if front.isEmpty():
-            break
-        reached = reached.union(front)
+    roots = nodes.where(F.col(parent).isNull()).select(F.col(name).alias("_r"))
+    reached = root_paths(nodes, name, parent).join(roots, F.element_at("path", -1) == F.col("_r"), "left_semi").select("name")
     return missing.union(nodes.select(F.col(name).alias("name")).join(reached, "name", "left_anti").join(missing, "name", "left_anti").select("name", F.lit("not reached").alias("fault")))
 
 

@@ -25,6 +25,14 @@ def test_trees(spark):
     assert {tuple(r) for r in trees.tree_faults(t).collect()} == {("x", "not reached"), ("y", "not reached")}
 
 
+def test_trees_deeper_than_sixteen(spark):
+    t = spark.createDataFrame([("n0", None), *((f"n{i}", f"n{i - 1}") for i in range(1, 19))], "name string, parent string")
+    chain = [f"n{i}" for i in range(18, -1, -1)]
+    assert trees.root_paths(t).where("name = 'n18'").first()["path"] == chain
+    assert {r["name"] for r in trees.ancestors(t.where("name = 'n18'").select("name"), t).collect()} == set(chain)
+    assert trees.tree_faults(t).count() == 0
+
+
 def test_year_coverage_and_confidence(spark):
     rows = spark.createDataFrame([(1900, 1900), (1900, 1901), (1902, 1902)], "dating_start int, dating_end int")
     assert [r["n"] for r in indexes.year_coverage(rows).orderBy("year").collect()] == [2, 1, 1]
