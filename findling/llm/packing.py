@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +33,12 @@ CACHED, LONGEST_CACHED = 300_000, 16
 class Encoder(dict):
     """Token ids as little-endian 32-bit bytes, by runs of a text that the tokenizer never joins, which are remembered.
 
-    The tokenizer lower-cases, drops white space and parts letters from symbols, so runs between ASCII white space
-    can be encoded apart, and within them ASCII letters and digits from ASCII symbols. Runs with an apostrophe stay
-    whole (it may begin a contraction), as do all where a character beyond ASCII is not a letter. Texts that may
-    hold a special token go to the tokenizer as they are.
+    What the tokenizer joins is asked of the tokenizer itself, so any tokenizer file is right, if slower. Where it
+    drops white space and parts ASCII letters and digits from ASCII symbols, runs between ASCII white space are encoded
+    apart, and within them letters and digits from symbols. Runs with an apostrophe stay whole (it may begin a
+    contraction), as do all of a text with a character beyond ASCII that, normalised, does not stand apart from symbols
+    beside it: a mark, or a letter that decomposes into letter and mark. Texts that may hold an added token, and those
+    for a tokenizer of other habits, are encoded whole.
     """
 
     made: dict = {}
@@ -49,6 +52,11 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(text)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart: dict[str, bool] = {}  #: whether a character stands apart from symbols beside it
+        symbols = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+        self.parted = all(self._stands_apart(c, x) for c in string.ascii_letters + string.digits for x in symbols) and self._ids("Ab, c\n(d1") == b"".join(map(self._ids, ("ab", ",", "c", "(", "d1")))
+        self.plain = self._ids("quality") == self._of_model("quality")
 
     @classmethod
     def of(cls, text: str) -> Encoder:
@@ -59,11 +67,20 @@ class Encoder(dict):
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _of_model(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
+    def _stands_apart(self, c: str, symbol: str = ",") -> bool:
+        """Whether the tokenizer parts c, normalised, from a symbol on either side."""
+        own = symbol + c + symbol
+        if self.tokenizer.normalizer:
+            own = self.tokenizer.normalizer.normalize_str(own)
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(own) if self.tokenizer.pre_tokenizer else []
+        return len(found) > 2 and found[0][1] == (0, 1) and found[-1][1] == (len(own) - 1, len(own))
+
     def __missing__(self, run: bytes) -> bytes:
-        if run.isalpha():  # ASCII letters only: nothing for the tokenizer to normalise or split
-            ids = np.array([t.id for t in self.model.tokenize(run.decode())], "<u4").tobytes()
-        else:
-            ids = self._ids(run.decode())
+        # of ASCII letters only: nothing for the tokenizer to normalise or split
+        ids = self._of_model(run.decode()) if self.plain and run.isalpha() else self._ids(run.decode())
         if len(run) <= LONGEST_CACHED:
             self[run] = ids
         return ids
@@ -74,11 +91,15 @@ class Encoder(dict):
         return [self._one(t) if t else b"" for t in texts]
 
     def _one(self, text: str) -> bytes:
-        if "<|" in text:
+        if not self.parted or any(t in text for t in self.added):
             return self._ids(text)
         raw = text.encode("utf-8", "replace").lower()
-        if not text.isascii() and not all(c.isalpha() for c in set(text) if c > "\x7f"):
-            return b"".join(map(self.__getitem__, raw.split()))
+        if not text.isascii():
+            for c in {c for c in text if c > "\x7f"}:
+                if c not in self.apart:
+                    self.apart[c] = self._stands_apart(c)
+                if not self.apart[c]:
+                    return b"".join(map(self.__getitem__, raw.split()))
         return b"".join(map(self.__getitem__, (self.QUOTED if "'" in text else self.RUNS).findall(raw)))
 
 
@@ -106,44 +127,56 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     return own.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def priced(worth: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: an unbounded knapsack by dynamic programming."""
+def priced(worth: np.ndarray, sizes: np.ndarray, room: int, most: int = 32) -> tuple[float, list[np.ndarray]]:
+    """The value of the most valuable pattern and up to `most` valuable patterns, the best first: an unbounded knapsack by dynamic programming, then the best pattern that holds each size."""
     best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    for c in range(1, room + 1):
-        fit = sizes <= c
-        values = np.where(fit, worth + best[np.maximum(c - sizes, 0)], -1)
-        k = int(values.argmax())
-        best[c], last[c] = (values[k], k) if values[k] > best[c - 1] else (best[c - 1], -1)
-    pattern, c = np.zeros(len(sizes), np.int64), room
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            pattern[last[c]] += 1
-            c -= sizes[last[c]]
-    return float(best[room]), pattern
+    order = np.argsort(sizes, kind="stable")
+    ranked, value = sizes[order], worth[order]
+    for c, n in enumerate(np.searchsorted(ranked, np.arange(room + 1), side="right")):
+        if n:
+            values = value[:n] + best[c - ranked[:n]]
+            k = int(values.argmax())
+            best[c], last[c] = (values[k], order[k]) if values[k] > best[c - 1] else (best[c - 1], -1)
+    holding, out = worth + best[room - sizes], []
+    for k in np.argsort(-holding, kind="stable")[:most]:
+        pattern, c = np.zeros(len(sizes), np.int64), room - sizes[k]
+        pattern[k] = 1
+        while c > 0:
+            if last[c] < 0:
+                c -= 1
+            else:
+                pattern[last[c]] += 1
+                c -= sizes[last[c]]
+        out.append(pattern)
+    return float(best[room]), out
 
 
 def generate(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and their values: the linear program min sum(x), patterns @ x >= demand, by the revised simplex method with priced columns."""
-    n = len(sizes)
+    """Columns and their values: the linear program min sum(x), patterns @ x >= demand, by the revised simplex method with priced columns.
+
+    It ends within gap of the bound, or after `most` pricings with columns that serve as well but may lie further from it.
+    """
     columns = np.diag(room // sizes).astype(float)
     inverse, x = np.diag(1 / np.diag(columns)), demand / np.diag(columns)
     for _ in range(most):
-        duals = np.maximum(inverse.sum(0), 0)
-        value, pattern = priced(duals, sizes, room)
+        duals = inverse.sum(0)
+        value, found = priced(np.maximum(duals, 0), sizes, room)
         if value <= 1 + gap:
             break
-        step = inverse @ pattern
-        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratio.argmin())
-        amount = ratio[out]
-        x = np.maximum(x - amount * step, 0)
-        x[out] = amount
-        inverse[out] /= step[out]
-        others = np.arange(n) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
-        columns[:, out] = pattern
+        for pattern in found:
+            if duals @ pattern <= 1 + gap:  # at the prices that the columns before it have left
+                continue
+            step = inverse @ pattern
+            rows = np.flatnonzero(step > 1e-9)
+            out = rows[(x[rows] / step[rows]).argmin()]
+            amount, row = x[out] / step[out], inverse[out] / step[out]
+            x = np.maximum(x - amount * step, 0)
+            x[out] = amount
+            duals = duals + (1 - step.sum()) * row
+            step[out] = 0
+            rows = np.flatnonzero(step)
+            inverse[rows] -= step[rows, None] * row
+            inverse[out], columns[:, out] = row, pattern
     return np.rint(columns).astype(np.int64), x
 
 

@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -369,6 +370,25 @@ def test_encoder_equals_tokenizer():
     assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_equals_tokenizer_beside_every_letter():
+    encoder = packing.Encoder(packing.tokenizer_json())
+    own = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "LM"]
+    pool, r = [*"abcXYZ019 \n\t,.!'-_()@#<|>", *"İıéक़ßſKﬁ½²中—“😀Σς가가١\xa0\u3000\x1c\x85", "e\u0301", "\u0307", "\u200d", "<|endoftext|>"], random.Random(1)
+    texts = [f"a{c}, {c}!x .{c} {c}'s (ab{c})" for c in own] + ["".join(r.choice(pool) for _ in range(r.randint(1, 30))) for _ in range(30_000)]
+    assert encoder.parted and encoder.plain
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, got, e in zip(texts, encoder.encode(texts), want, strict=True) if got != np.array(e.ids, "<u4").tobytes()] == []
+
+
+def test_encoder_of_another_tokenizer():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a,": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    encoder = packing.Encoder(other.to_str())
+    assert not encoder.parted and encoder.encode(["a, b c"]) == [np.array([0, 1, 2], "<u4").tobytes()]
+
+
 def test_patterns_are_near_the_bound():
     r = np.random.default_rng(2)
     sizes, demand = np.unique(np.minimum(r.geometric(0.01, 5000), 512), return_counts=True)
