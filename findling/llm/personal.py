@@ -2,21 +2,26 @@
 
 Loose patterns propose spans; regex, checksum, gazetteer, context and boundary labelers vote on each (yes, no or
 abstain). The votes of all documents are counted by pattern (a bounded table), expectation-maximisation estimates
-each labeler's reliability and a posterior for each pattern, and a logistic span classifier is trained on these.
-Spans in the base formats stand whatever the classifier says; it decides on the other candidates.
+each labeler's reliability and a posterior for each pattern, and a logistic span classifier is trained on these. Beside
+the votes it sees what no labeler looks at: the word before the span, the span's character shape and its size. It is
+trained on the `SAMPLE` most frequent kinds of candidates at most (candidates alike in all of this are one kind, with
+their number), the reliabilities on all of them. Spans in the base formats stand whatever the classifier says; it
+decides on the other candidates, and its probability comes with every span that it adds.
 
 Base formats, leftmost and non-overlapping within a kind: mail addresses, internet addresses (parts up to 255),
 cards (12 to 19 digits, Luhn) and international phone numbers (9 to 15 digits). Positions are code points, ends exclusive.
 
 Defined cases: null or empty text has no spans (its base digest is that of the empty string); ties in start go by
 kind as listed; repeated rows are counted and returned each; a table without candidates gets a model that adds
-nothing; an empty table gives no rows; extra columns are ignored (`redact` passes them on).
+nothing; very long texts are read whole, in time that grows with their length; an empty table gives no rows; extra columns are ignored (`redact` passes them on).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.llm.shared import releasing, table
+from findling.llm.shared import cut, releasing, table
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE = KINDS[:4]
+SAMPLE, LOOKS = 20_000, 64  #: kinds of candidates that train the classifier; buckets of words before and of character shapes
 
 # The base formats written so that no start is tried twice: a digit run is entered at its first digit only, a mail address from its @.
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -75,6 +81,10 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _small_parts(quad: str) -> bool:
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in quad.split(".")))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans in the base formats, by kind."""
     out, end = [], 0
@@ -87,7 +97,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             if local and local.start() < m.start():
                 out.append(("email", local.start(), m.end()))
                 end = m.end()
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if _small_parts(m[0])] if "." in text else []
     out += [("card", *m.span()) for m in _CARD.finditer(text) if luhn(_digits(m[0]))]
     out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15] if "+" in text else []
     return out
@@ -118,7 +128,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     if kind == "card":
         sum_ok = luhn(digits) and len(set(digits)) > 2
     elif kind == "ip":
-        sum_ok = all(len(p) <= 3 and int(p) <= 255 for p in span.split("."))
+        sum_ok = max(map(len, span.split("."))) <= 3 and _small_parts(span)
     elif kind == "phone":
         sum_ok = 9 <= len(digits) <= 15
     elif kind == "id" and "-" in span:
@@ -144,47 +154,70 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     return 1 if base else 0, sign(sum_ok), sign(listed), said, 1 if apart else -1
 
 
+_LAST_WORD = re.compile(r"(\w{1,24})\W*\Z")
+
+
+def _shape(span: str) -> str:
+    """Digits, capitals and small letters as 0, A, a, each run as one."""
+    kinds = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub("[0-9]", "0", span))
+    return re.sub(r"(.)\1+", r"\1", kinds, flags=re.S)
+
+
+def looks(text: str, start: int, end: int) -> int:
+    """Size, symbols, character shape and the word before a span, each in buckets, as one number."""
+    span, before = text[start : min(end, start + 96)], _LAST_WORD.search(text, max(0, start - 32), start)
+    word = before[1].lower() if before else ""
+    size = min(7, (end - start) // 4) * 8 + min(7, sum(not c.isalnum() for c in span))
+    return (size * LOOKS + zlib.crc32(_shape(span).encode("utf-8", "replace")) % LOOKS) * LOOKS + zlib.crc32(word.encode("utf-8", "replace")) % LOOKS
+
+
 def candidates(text: str | None) -> tuple[list, list]:
-    """Base spans, and all candidates as (kind, start, end, is base, votes, shape)."""
+    """Base spans, and all candidates as (kind, start, end, is base, votes, looks)."""
     if not text:
         return [], []
     digits = re.search("[0-9]", text) is not None
     base = base_spans(text) if digits or "@" in text else []
-    taken = sorted((s, e) for _, s, e in base)
-    every = [(*b, True) for b in base]
-    for kind, s, e in loose_spans(text, digits):
-        if not any(s < y and x < e for x, y in taken) and all((kind, s, e) != x[:3] for x in every):
-            every.append((kind, s, e, False))
-    out = []
-    for kind, s, e, is_base in every:
-        span = text[s:e]
-        shape = min(7, (e - s) // 4) * 8 + min(7, sum(not c.isalnum() for c in span))
-        out.append((kind, s, e, is_base, votes(text, kind, s, e, is_base), shape))
-    return base, out
+    starts, ends = [], []  # of the base spans' union
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    every, seen = [(*b, True) for b in base], set()
+    for x in loose_spans(text, digits):
+        if x not in seen and ends[(at := bisect.bisect_right(ends, x[1])) : at + 1] and starts[at] < x[2]:
+            continue
+        if x not in seen:
+            seen.add(x)
+            every.append((*x, False))
+    return base, [(kind, s, e, is_base, votes(text, kind, s, e, is_base), looks(text, s, e)) for kind, s, e, is_base in every]
 
 
 class Model:
     """Labeler reliabilities and the span classifier; a few hundred numbers."""
 
-    def __init__(self, rows: list[tuple[str, bool, tuple[int, ...], int, int]]):
-        """rows: (kind, is base, votes, shape, count) over all documents."""
-        self.weights = np.zeros(len(KINDS) + 3 * len(VOTERS) + 16 + 1)
+    SIZES = len(KINDS) + 3 * len(VOTERS)
+
+    def __init__(self, cast: list[tuple[str, tuple[int, ...], int]], rows: list[tuple[str, tuple[int, ...], int, int]]):
+        """cast: (kind, votes, count) of all candidates; rows: (kind, votes, looks, count) of those that train the classifier."""
+        self.weights = np.zeros(self.SIZES + 16 + 2 * LOOKS + 1)
         self.weights[-1] = -1.0
         self.reliability = {v: (0.5, 0.5) for v in VOTERS}
-        if rows:
+        self.posterior: dict[tuple, float] = {}
+        if cast:
+            self._estimate(cast)
             self._fit(rows)
 
-    def features(self, kind: str, cast: tuple[int, ...], shape: int) -> np.ndarray:
-        x = np.zeros(len(self.weights))
-        x[KINDS.index(kind)] = x[-1] = 1
-        for i, v in enumerate(cast):
-            x[len(KINDS) + 3 * i + v + 1] = 1
-        x[len(KINDS) + 3 * len(VOTERS) + shape // 8] = x[len(KINDS) + 3 * len(VOTERS) + 8 + shape % 8] = 1
-        return x
-
-    def _fit(self, rows: list) -> None:
-        n = np.array([r[4] for r in rows], float)
-        cast = np.array([r[2] for r in rows]) + 1
+    def features(self, kind: str, cast: tuple[int, ...], seen: int) -> list[int]:
+        """Those that are 1."""
+        size, shape, word = seen // LOOKS**2, seen // LOOKS % LOOKS, seen % LOOKS
+        return [KINDS.index(kind), *(len(KINDS) + 3 * i + v + 1 for i, v in enumerate(cast)), self.SIZES + size // 8, self.SIZES + 8 + size % 8, self.SIZES + 16 + shape, self.SIZES + 16 + LOOKS + word, len(self.weights) - 1]
+
+    def _estimate(self, rows: list) -> None:
+        """Expectation-maximisation."""
+        n = np.array([r[2] for r in rows], float)
+        cast = np.array([r[1] for r in rows]) + 1
         kinds = np.array([KINDS.index(r[0]) for r in rows])
         # labelers start as better than chance, with a pseudo-count that keeps a labeler that never votes there
         p = np.stack([np.tile([0.1, 0.3, 0.6], (len(VOTERS), 1)), np.tile([0.6, 0.3, 0.1], (len(VOTERS), 1))])
@@ -202,65 +235,89 @@ class Model:
             if np.abs(p - old).max() < 1e-6:
                 break
         self.reliability = {v: (round(float(p[0, i, 2]), 4), round(float(p[1, i, 0]), 4)) for i, v in enumerate(VOTERS)}
-        x = np.stack([self.features(r[0], r[2], r[3]) for r in rows])
-        share, w = n / n.sum(), np.zeros(x.shape[1])
-        for _ in range(50):  # Newton steps
+        self.posterior = {r[:2]: float(q) for r, q in zip(rows, yes, strict=True)}
+
+    def _fit(self, rows: list, decay: float = 1e-3) -> None:
+        """Newton steps on the classifier's cross entropy with the posteriors, each looks alike weighing as often as it was seen."""
+        x = np.zeros((len(rows), len(self.weights)))
+        for i, r in enumerate(rows):
+            x[i, self.features(r[0], r[1], r[2])] = 1
+        n = np.array([r[3] for r in rows], float)
+        yes, share, w = np.array([self.posterior[r[0], r[1]] for r in rows]), n / n.sum(), np.zeros(x.shape[1])
+        for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            gradient = x.T @ (share * (q - yes)) + 1e-3 * w
-            hessian = (x * (share * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+            gradient = x.T @ (share * (q - yes)) + decay * w
+            hessian = (x * (share * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + decay * np.eye(len(w))
             step = np.linalg.solve(hessian, gradient)
             w -= step
             if np.abs(step).max() < 1e-8:
                 break
         self.weights = w
 
-    def says(self, kind: str, cast: tuple[int, ...], shape: int) -> bool:
-        return float(self.features(kind, cast, shape) @ self.weights) > 0
+    def probability(self, kind: str, cast: tuple[int, ...], seen: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights[self.features(kind, cast, seen)].sum(), -30, 30))))
 
-    def spans(self, text: str | None) -> tuple[list, list]:
-        """Base spans and all spans, each by start and kind as listed."""
+    def scored(self, text: str | None) -> tuple[list, list]:
+        """Base spans and all spans, each by start and kind as listed; the latter with the classifier's probability, null for base ones."""
         base, every = candidates(text)
-        found = [(k, s, e) for k, s, e, is_base, cast, shape in every if is_base or self.says(k, cast, shape)]
+        found = [(k, s, e, None if is_base else self.probability(k, cast, seen)) for k, s, e, is_base, cast, seen in every]
         order = lambda x: (x[1], KINDS.index(x[0]), x[2])
-        return sorted(base, key=order), sorted(found, key=order)
+        return sorted(base, key=order), sorted((x for x in found if x[3] is None or x[3] > 0.5), key=order)
+
+    def spans(self, text: str | None) -> tuple[list, list]:
+        base, every = self.scored(text)
+        return base, [x[:3] for x in every]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model from the candidates of all documents, counted by kind, votes and shape: at most 6 * 2 * 3^5 * 64 rows reach the driver, some hundred in practice."""
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
+    """The model from the candidates of all documents, counted by kind, votes and looks. To the driver come the counts by kind and votes (6 * 3^5 rows at most) and `sample` kinds of candidates."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"kind": pa.array([k[0] for k in seen], pa.string()), "cast": pa.array([",".join(map(str, k[1])) for k in seen], pa.string()), "looks": pa.array([k[2] for k in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
+            seen.clear()
+            return out
+
         for batch in batches:
             for t in batch.column(0):
-                for kind, _, _, is_base, cast, shape in candidates(t.as_py())[1]:
-                    key = (kind, is_base, ",".join(map(str, cast)), shape)
+                for kind, _, _, _, cast, look in candidates(t.as_py())[1]:
+                    key = (kind, cast, look)
                     seen[key] = seen.get(key, 0) + 1
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([k[0] for k in seen], pa.string()), "base": pa.array([k[1] for k in seen], pa.bool_()), "cast": pa.array([k[2] for k in seen], pa.string()), "shape": pa.array([k[3] for k in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
+            if len(seen) > 100_000:
+                yield flush()
+        yield flush()
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, base boolean, cast string, shape int, n long")
-    rows = counted.groupBy("kind", "base", "cast", "shape").agg(F.sum("n").alias("n")).orderBy("kind", "base", "cast", "shape").collect()
-    return Model([(r["kind"], r["base"], tuple(map(int, r["cast"].split(","))), r["shape"], r["n"]) for r in rows])
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, cast string, looks int, n long")
+    counted = cut(counted.groupBy("kind", "cast", "looks").agg(F.sum("n").alias("n")))
+    cast = counted.groupBy("kind", "cast").agg(F.sum("n").alias("n")).orderBy("kind", "cast").collect()
+    rows = counted.orderBy(F.desc("n"), "kind", "cast", "looks").limit(sample).collect()
+    of = lambda r: (r["kind"], tuple(map(int, r["cast"].split(","))))
+    return Model([(*of(r), r["n"]) for r in cast], [(*of(r), r["looks"], r["n"]) for r in rows])
 
 
 def find(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, added) for each row; added: kind:start:end:probability of the spans that the classifier adds."""
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind, held = own.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [held.value.spans(t.as_py()) for t in batch.column(1)]
+            both = [held.value.scored(t.as_py()) for t in batch.column(1)]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in both], pa.int64()) for k in BASE]
             digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in both], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined(x) for _, x in both], pa.string()), pa.array([len(x) - len(base) for base, x in both], pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added"])
+            new = [[x for x in every if x[3] is not None] for _, every in both]
+            added = [pa.array([len(x) for x in new], pa.int64()), pa.array([",".join(f"{k}:{s}:{e}:{p:.4f}" for k, s, e, p in x) for x in new], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined([x[:3] for x in every]) for _, every in both], pa.string()), *added], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "added"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return own.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, added string")
 
 
 def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -102,6 +103,41 @@ def test_personal_candidates_in_capitals():
     assert [(k, text[s:e]) for k, s, e, *_ in personal.candidates(text)[1]] == [("email", text[5:])]
 
 
+def test_personal_huge_parts_are_no_addresses():
+    assert personal.base_spans("0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+
+
+def test_personal_reliabilities_raise_the_likelihood():
+    """Expectation-maximisation against a plain count: labelers that agree with the truth are found reliable."""
+    r, seen = random.Random(5), collections.Counter()
+    for _ in range(4000):
+        yes = r.random() < 0.5
+        say = lambda right: (1 if yes else -1) if r.random() < right else (-1 if yes else 1)  # noqa: B023, E731
+        seen["email", (say(0.95), say(0.9), say(0.6), 0, say(0.8))] += 1
+    model = personal.Model([(*k, n) for k, n in seen.items()], [(*k, 0, n) for k, n in seen.items()])
+    for voter, right in zip(personal.VOTERS, (0.95, 0.9, 0.6, None, 0.8), strict=True):
+        assert right is None or abs(model.reliability[voter][0] - right) < 0.04
+
+
+def test_personal_finds_spelt_addresses(spark, docs):
+    """Addresses with their signs spelt out, among sentences of the same form: most are found, and little else is."""
+    r, tlds = random.Random(6), ["com", "org", "net", "de"]
+    name = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(4, 9)))
+    texts, wanted = [], []
+    for i in range(300):
+        if i % 2:
+            wanted.append(f"{name()}.{name()} [at] {name()} [dot] {r.choice(tlds)}")
+            texts.append(f"{name()} {name()} {r.choice(['mail', 'contact', 'write to', ''])} {wanted[-1]} {name()}")
+        else:
+            wanted.append(None)
+            texts.append(f"{name()} {name()} invoice {name()} (at) {name()}. {name().capitalize()} {name()}")
+    own = spark.createDataFrame([(10**6 + i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    every = docs.select("doc_id", "text").unionByName(own.select("doc_id", "text"))
+    got = {x["doc_id"]: x for x in personal.find(every, personal.fit(every)).where("doc_id >= 1000000").collect()}
+    hit = sum(bool(w) and f"email:{t.index(w)}:{t.index(w) + len(w)}" in got[10**6 + i]["spans"] for i, (t, w) in enumerate(zip(texts, wanted, strict=True)))
+    assert hit >= 0.8 * 150 and hit >= 0.9 * sum(x["n_added"] for x in got.values())
+
+
 def test_personal_model_adds_and_keeps(spark, docs):
     rows = [(i, f"call me at +1 (555) 010-{1000 + i} or mail p{i}@x.org, card 4111 1111 1111 1111", "en", "a", 1) for i in range(40)] + [(100 + i, f"item {i} order 123456789012{i % 10}", "en", "a", 1) for i in range(40)] + [(200, "phone: (555) 010 2233 and name is Maria Lopez", "en", "a", 1)]
     own = spark.createDataFrame(rows, SCHEMA)
@@ -133,23 +169,88 @@ def test_secret_base_spans():
         assert sorted((k, *m.span()) for k, (p, f) in SECRET.items() for m in p.finditer(text) if f(m)) == sorted(secrets.base_spans(text)), text
 
 
-def test_field_decodes_best_path_and_learns():
-    r = np.random.default_rng(1)
+def _random_field(r):
     field = secrets.Field()
     field.w[:] = r.normal(size=field.w.shape)
     field.move += np.where(field.move < -1, 0, r.normal(size=(3, 3)))
-    for n in range(1, 6):
-        x = r.integers(0, secrets.BUCKETS, (n, 4))
-        emit = field.w[x].sum(1)
-        score = lambda tags: field.move[0, tags[0]] + sum(emit[i, t] for i, t in enumerate(tags)) + sum(field.move[a, b] for a, b in zip(tags, tags[1:], strict=False)) + field.move[tags[-1], 0]  # noqa: B023, E731
-        best = max(np.ndindex(*[3] * n), key=score)
-        assert tuple(field.decode(x)) == tuple(best)
-    rnd = random.Random(3)
-    make = lambda: (f"use token = {rnd.randbytes(20).hex()} now", f"see page{rnd.randint(1000, 9999)}item{rnd.randint(10, 99)} here")
-    runs = [x for _ in range(150) for t in make() for x in secrets.labelled(t, 8)]
-    field = secrets.Field()
-    field.fit([(secrets.hashed(f), np.array(y)) for f, y in runs[:200]])
-    assert np.mean([field.decode(secrets.hashed(f)) == y for f, y in runs[200:]]) > 0.95
+    return field
+
+
+def _paths(field, emit):
+    """Every path's score."""
+    return {tags: field.move[0, tags[0]] + sum(emit[i, t] for i, t in enumerate(tags)) + sum(field.move[a, b] for a, b in zip(tags, tags[1:], strict=False)) + field.move[tags[-1], 0] for tags in np.ndindex(*[3] * len(emit))}
+
+
+def test_field_decodes_best_path():
+    r = np.random.default_rng(1)
+    for turn in range(200):
+        field, n = _random_field(r), int(r.integers(1, 8))
+        emit = r.normal(size=(n, 3)) - [0, turn % 5, turn % 3]
+        paths = _paths(field, emit)
+        got = [0] * n
+        for lo, hi in field.stretches(emit):
+            got[lo:hi] = field.decode(emit[lo:hi])
+        assert paths[tuple(got)] == pytest.approx(max(paths.values()))
+        tags = field.decode(emit)
+        begun = [(i, next((j for j in range(i + 1, n) if tags[j] != 2), n)) for i, t in enumerate(tags) if t == 1]
+        norm = sum(np.exp(x) for x in paths.values())
+        for (a, b), p in zip(begun, field.posteriors(emit, tags, begun), strict=True):
+            assert p == pytest.approx(sum(np.exp(x) for t, x in paths.items() if list(t[a:b]) == tags[a:b] and (b == n or t[b] != 2)) / norm)
+
+
+def test_field_gradient_and_likelihood():
+    r = np.random.default_rng(2)
+    field = _random_field(r)
+    x, y = r.integers(0, 40, (3, 5, 4)), np.array([[0, 1, 2, 0, 1], [1, 2, 2, 2, 0], [0, 0, 0, 0, 0]])
+    total, grad_w, grad_m = field.gradient([(x, y)])
+    want = 0.0
+    for own, tags in zip(x, y, strict=True):
+        paths = _paths(field, field.w[own].sum(1))
+        want += paths[tuple(tags)] - np.log(sum(np.exp(v) for v in paths.values()))
+    assert total == pytest.approx(want)
+    for target, grad, at in ((field.w, grad_w, (int(x[0, 1, 2]), 1)), (field.w, grad_w, (int(x[1, 0, 0]), 0)), (field.move, grad_m, (1, 2)), (field.move, grad_m, (0, 0))):
+        target[at] += 1e-6
+        assert (field.gradient([(x, y)])[0] - total) / 1e-6 == pytest.approx(grad[at], abs=1e-3)
+        target[at] -= 1e-6
+
+
+def test_field_scores_words_as_in_training():
+    field = _random_field(np.random.default_rng(3))
+    tokens = "let token = aB3dE9fG2h1Jk0 be x".split()
+    assert np.allclose(field.emissions(tokens, [1, 2]), field.w[secrets.features(tokens, [1, 2])].sum(1))
+    assert np.allclose(field.emissions(tokens[:1], [1, 2]), field.w[secrets.features(tokens[:1], [1, 2])].sum(1))
+
+
+def test_field_finds_secrets_without_cue(spark, docs):
+    """Random strings beside no cue word, in texts of the tables: most are found, and little else is."""
+    r = random.Random(3)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    cued = docs.limit(400).withColumn("text", F.concat(F.col("text"), F.lit(" api_key = "), F.substring(F.sha2(F.col("text"), 256), 1, 32), F.lit(" and so on")))
+    field = secrets.fit(docs.unionByName(cued))
+    texts = [x["text"] for x in docs.where("length(text) between 200 and 2000").limit(300).collect()]
+    hit = added = 0
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        value = "".join(r.choice(alphabet) for _ in range(r.randint(20, 40)))
+        if i % 2:
+            words.insert(len(words) // 2, value)
+        text = " ".join(words)
+        base, every = secrets.spans(text, field)
+        new = [text[s:e] for _, s, e, p in every if p is not None]
+        assert [x[:3] for x in every if x[3] is None] == base
+        added += len(new)
+        hit += i % 2 and value in new
+    assert hit >= 0.8 * len(texts) // 2 and hit >= 0.9 * added
+
+
+@pytest.mark.parametrize("text", ["中" * 100_000, "https://a.b/c?x=1;" * 6000, "0123456789abcdefA " * 6000, "aB3" * 40_000, "Mr James Smith, " * 7000, "a@b.co " * 15_000, "4111 1111 1111 1111 " * 5000])
+def test_long_texts_in_linear_time(text):
+    field, model = _random_field(np.random.default_rng(4)), personal.Model([], [])
+    field.w *= 0.01
+    for call in (lambda: secrets.spans(text, secrets.Field()), lambda: secrets.base_spans(text), lambda: secrets.labelled(text), lambda: model.spans(text)):
+        began = time.perf_counter()
+        call()
+        assert time.perf_counter() - began < 3
 
 
 # Licences
