@@ -12,6 +12,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,22 @@ def test_no_link_of_a_crowded_group_is_lost(spark, spread):
         assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(u))}
 
 
+@pytest.mark.parametrize("spread", [3, 64])
+def test_recall_beyond_the_sample(spark, spread):
+    """24,000 vectors, a third in one group and a sixth near others: links found and components against all pairs."""
+    r = np.random.default_rng(spread)
+    basis = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    group = basis[:, 0] + 0.4 * (r.normal(size=(8000, spread)) @ basis[:, 1 : spread + 1].T) if spread < 64 else basis[:, 0] + 0.06 * r.normal(size=(8000, 64))
+    free = r.normal(size=(12_000, 64))
+    near = free[r.integers(0, 12_000, 4000)] + 0.42 * r.random((4000, 1)) * r.normal(size=(4000, 64))
+    x = np.concatenate([group, free, near])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 2000] @ u.T >= 0.9).sum(1) - 1 for i in range(0, len(u), 2000)])
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(u)), "embedding": x.tolist()}))
+    got = product.near_vectors(rows).orderBy("vec_id").toPandas()
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.99 * want.sum() and ((got.n_links.to_numpy() > 0) == (want > 0)).mean() > 0.999
+
+
 def test_asymmetric_distances_bound_exact_ones():
     r = np.random.default_rng(5)
     x = r.normal(size=(500, 16))
