@@ -93,13 +93,19 @@ class Index:
         step = np.sin(link) if link < np.pi / 2 else 2.0
         return (angle >= least - link) & (angle <= most + link) & (plane <= step + SLACK) & ((plane <= REACH) | self.linked[own])
 
-    def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """From queries to the codes of list `at`, looked up in a table for each subspace."""
-        residual, total = x - self.coarse[at], np.zeros((len(x), len(codes)))
-        for j, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            d = residual[:, p]
-            total += np.maximum((d * d).sum(1)[:, None] + (b * b).sum(1) - 2 * d @ b.T, 0)[:, codes[:, j]]
-        return np.sqrt(total)
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """Inner products of queries with all codewords of all subspaces, which are the same for every list."""
+        return np.concatenate([x[:, p] @ b.T for p, b in zip(self.parts, self.books, strict=True)], axis=1)
+
+    def distances(self, x: np.ndarray, at: int, codes: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+        """From queries to the codes of list `at`: |q - c - r|^2 = |q - c|^2 + |r|^2 + 2 c r - 2 q r, the last looked up for each subspace."""
+        tables = self.tables(x) if tables is None else tables
+        starts = np.cumsum([0, *(len(b) for b in self.books)])[:-1]
+        residual = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
+        own = x - self.coarse[at]
+        shared = (own * own).sum(1)[:, None] + (residual * residual).sum(1) + 2 * residual @ self.coarse[at]
+        told = np.take(tables, (starts + codes).ravel(), axis=1).reshape(len(x), len(codes), -1).sum(2)
+        return np.sqrt(np.maximum(shared - 2 * told, 0))
 
 
 def packed(sizes: np.ndarray, index: Index, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,12 +253,12 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
         ids = [names.setdefault(d, len(names)) for d in asks.column("digest").to_pylist()]
         ids, lists, counts, froms, tos = np.array(ids), own.column("list").to_numpy(), np.zeros(len(v), np.int64), [], []
         inside = [(at, np.flatnonzero(lists == at)) for at in np.unique(lists)]
-        for i in range(0, len(v), 512):
-            wanted = index.value.probe(v[i : i + 512], least, most)
+        for i in range(0, len(v), 1024):
+            wanted, tables = index.value.probe(v[i : i + 1024], least, most), index.value.tables(v[i : i + 1024])
             for at, held in inside:
                 asking = np.flatnonzero(wanted[:, at])
-                far = index.value.distances(v[i + asking], at, codes[held])
-                row, col = np.nonzero(far <= step + errors[held] + SLACK)
+                far = index.value.distances(v[i + asking], at, codes[held], tables[asking])
+                row, col = np.nonzero(far <= step + errors[held] + 10 * SLACK)
                 for j in range(0, len(row), 65_536):
                     r, c = asking[row[j : j + 65_536]] + i, held[col[j : j + 65_536]]
                     link = (np.einsum("ij,ij->i", v[r], u[c]) >= threshold) & (ids[r] != c)
