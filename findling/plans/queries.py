@@ -121,32 +121,33 @@ def sc3_artist_similarity(v):
     return x.select("c_custkey", "s_suppkey", similarity.artist_similarity(F.col("c_name"), F.col("s_name")).alias("artist_sim"))
 
 
-@query("""select l.lost_id, max(jaro_winkler_similarity(lower(p.complete_name), lower(a.artist))) as artist_sim
-    from lost l join auction a on a.auction_id = l.lost_id % 100 join people p on p.artist_id in (l.artist_a, l.artist_b) group by l.lost_id""")
+@query("""with each as (select distinct l.lost_id, p.complete_name from lost l join people p on p.artist_id in (l.artist_a, l.artist_b)),
+    sims as (select complete_name, auction_id, jaro_winkler_similarity(lower(complete_name), lower(a.artist)) as s from (select distinct complete_name from each) cross join auction a)
+    select lost_id, auction_id, max(s) as artist_sim from each join sims using (complete_name) group by lost_id, auction_id""")
 def sc4_best_artist(v):
     works = v["lost"].select("lost_id", F.array_distinct(F.array("artist_a", "artist_b")).alias("artist_ids"))
-    x = matches.ordered_names(works, v["people"]).where(F.size("artist_names") > 0).join(v["auction"].select("auction_id", "artist"), F.col("auction_id") == F.col("lost_id") % 100)
-    return x.select("lost_id", pairs.best_artist(F.col("artist_names"), F.col("artist")).alias("artist_sim"))
+    x = pairs.meet(matches.ordered_names(works, v["people"]).where(F.size("artist_names") > 0), v["auction"].select("auction_id", "artist"))
+    return x.select("lost_id", "auction_id", pairs.best_artist(F.col("artist_names"), F.col("artist")).alias("artist_sim"))
 
 
 _OVERLAP = """case when (l.dating_start is null and l.dating_end is null) or (a.dating_start is null and a.dating_end is null) then null
     when greatest(coalesce(l.dating_start, l.dating_end - 200), coalesce(a.dating_start, a.dating_end - 200)) <= least(coalesce(l.dating_end, least(2026, l.dating_start + 200)), coalesce(a.dating_end, least(2026, a.dating_start + 200))) then 1.0 else 0.0 end"""
 
 
-@query(f"select l.lost_id, a.auction_id, {_OVERLAP} as dating_sim from lost l join auction a on a.auction_id % 20 = l.lost_id % 20")
+@query(f"select l.lost_id, a.auction_id, {_OVERLAP} as dating_sim from lost l cross join auction a")
 def sc5_dating_similarity(v):
     a = v["auction"].select("auction_id", F.col("dating_start").alias("s2"), F.col("dating_end").alias("e2"))
-    x = v["lost"].join(a, F.col("auction_id") % 20 == F.col("lost_id") % 20)
+    x = pairs.meet(v["lost"], a)
     return x.select("lost_id", "auction_id", similarity.dating_similarity(*(F.col(c) for c in ("dating_start", "dating_end", "s2", "e2"))).alias("dating_sim"))
 
 
 @query("""select l.lost_id, a.auction_id, case when l.width is null or l.height is null or a.width is null or a.height is null then null else
     (case when l.width > 0 and a.width > 0 and abs(l.width - a.width) <= 0.1 * greatest(l.width, a.width) then 1.0 else 0.0 end
     + case when l.height > 0 and a.height > 0 and abs(l.height - a.height) <= 0.1 * greatest(l.height, a.height) then 1.0 else 0.0 end) / 2 end as dimensions_sim
-    from lost l join auction a on a.auction_id % 20 = l.lost_id % 20""")
+    from lost l cross join auction a""")
 def sc6_dimensions_similarity(v):
     a = v["auction"].select("auction_id", F.col("width").alias("w2"), F.col("height").alias("h2"))
-    x = v["lost"].join(a, F.col("auction_id") % 20 == F.col("lost_id") % 20)
+    x = pairs.meet(v["lost"], a)
     return x.select("lost_id", "auction_id", similarity.dimensions_similarity(*(F.col(c) for c in ("width", "height", "w2", "h2"))).alias("dimensions_sim"))
 
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from findling.functions import similarity
 from findling.operators import images, indexes, inventory, pairs, tables, trees, vectors
 
 
@@ -87,3 +90,38 @@ def test_ordered_digest_sees_order_free_content(spark):
     a, b = (inventory.ordered_digest(d, ["id"]).first() for d in (rows, rows.orderBy(F.desc("id"))))
     assert a["n"] == 1000 and a["digest"] == b["digest"] or a["n"] == b["n"]
     assert inventory.bag_digest(rows).first() == inventory.bag_digest(rows.orderBy(F.desc("id"))).first()
+
+
+def test_densities_of_few_and_of_many_points_agree(spark, monkeypatch):
+    r = random.Random(3)
+    sizes = spark.createDataFrame([(float(r.randint(1, 40)), float(r.randint(1, 60))) for _ in range(400)] + [(400.0, 900.0)], "width double, height double")
+    few = {tuple(x)[:2]: x[2] for x in indexes.density_confidence(sizes, sizes, "width", "height", "d").collect()}
+    monkeypatch.setattr(indexes, "BROADCAST_POINTS", 0)
+    many = {tuple(x)[:2]: x[2] for x in indexes.density_confidence(sizes, sizes, "width", "height", "d").collect()}
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], abs=1e-9) for k in few)
+
+
+def test_pairs_against_all_pairs(spark):
+    """Pruning loses no pair: the same pairs as when all are known before, and so never pruned."""
+    r = random.Random(4)
+    words, names = ["Portrait", "of", "a", "lady", "Landschaft", "mit", "river", "boat"], ["Jan Steen", "Jan Stein", "unbekannt", "Rubens"]
+    title = lambda: r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randint(1, 4)))])
+    some = lambda v: r.choice([None, v])
+    lost = [(i, title(), r.sample(names, r.randint(0, 2)), ["oil"], ["etching"], some(1600), some(1650), some(30.0 + r.randint(0, 5)), some(40.0)) for i in range(40)]
+    sold = [(i, title(), r.choice([*names, None]), r.sample(["oil", "paper"], 1), ["etching"], some(1620), some(1700), some(31.0), some(41.0 + r.randint(0, 9))) for i in range(30)]
+    rest = "materials array<string>, {0}_techniques array<string>, {0}_dating_start int, {0}_dating_end int, {0}_width double, {0}_height double"
+    left = spark.createDataFrame(lost, "lost_id int, lost_title string, lost_artists array<string>, lost_" + rest.format("lost"))
+    right = spark.createDataFrame(sold, "auction_id int, auction_title string, auction_artist string, auction_" + rest.format("auction"))
+    tree = spark.createDataFrame([("unbekannt", None), ("oil", "unbekannt"), ("paper", "unbekannt"), ("etching", "paper")], "name string, parent string")
+    every = left.select("lost_id").crossJoin(right.select("auction_id"))
+    got = {(x["lost_id"], x["auction_id"]): x for x in pairs.score_pairs(left, right, tree, tree).collect()}
+    known = {(x["lost_id"], x["auction_id"]): x for x in pairs.score_pairs(left, right, tree, tree, every).collect()}
+    assert len(known) == 1200 and got and got == {k: x for k, x in known.items() if x["final_score"] >= 0.7 and x["confidence_score"] >= 0.5}
+    for (i, j), x in known.items():
+        a, b = lost[i], sold[j]
+        if (a[1] and a[1].strip() or a[2]) and (b[1] and b[1].strip() or b[2]):
+            sims = {c: x[f"{c}_sim"] for c in pairs.scoring.WEIGHTS}
+            bottom = sum(w for c, w in pairs.scoring.WEIGHTS.items() if sims[c] is not None)
+            assert x["final_score"] == pytest.approx(sum(w * sims[c] for c, w in pairs.scoring.WEIGHTS.items() if sims[c] is not None) / bottom if bottom else 0)
+            best = [similarity.jaro_winkler_pair(n.lower(), b[2].lower()) for n in a[2] if n != "unbekannt"] if b[2] and b[2] != "unbekannt" else []
+            assert sims["artist"] == (max(best) if best else None)
