@@ -232,11 +232,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     trusted = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(trust).alias("_q")).where("_q = 1").select("_id")
     own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     ids = None
-    if trusted.count() <= BROADCAST_IDS:
+    whole_numbers = isinstance(docs.schema[key].dataType, T.IntegralType) and isinstance(labels.schema[key].dataType, T.IntegralType)
+    if whole_numbers and trusted.count() <= BROADCAST_IDS:
         ids = spark.sparkContext.broadcast(np.sort(trusted.toArrow().column(0).to_numpy()))
         own = own.withColumn("trusted", F.lit(None).cast("boolean"))
     else:
         own = own.join(trusted.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        own = own.sortWithinPartitions("doc_id", "h", "lang")  # blocks are named by the order of rows, which a recomputed task must repeat
     chars = docs.select(F.sum(F.length(text))).first()[0] or 0
     bits = grid(chars)
     shards = 1 << sum(bits)

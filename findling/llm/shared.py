@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import suppress
@@ -20,18 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode, as in tests. A cluster must name one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.TemporaryDirectory(prefix="findling-")
         atexit.register(own.cleanup)
         spark.sparkContext.setCheckpointDir(f"file://{own.name}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-_open: list[list[str]] = []
+_scopes = threading.local()  #: each thread's open scopes: the tables cut in them
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,27 +43,32 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/findling-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if scopes := getattr(_scopes, "open", None):
+        scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Cuts f's result and then removes what f has cut on the way."""
+def tidied(f: Callable[[], DataFrame]) -> DataFrame:
+    """f's result, cut, without the tables that f has cut on the way."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        out = f()
+    finally:
+        own = _scopes.open.pop()
+    out = cut(out)
+    jvm, conf = out.sparkSession._jvm, out.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for path in own:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return out
+
 
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @wraps(f)
     def run(*args, **named) -> DataFrame:
-        _open.append([])
-        try:
-            out = f(*args, **named)
-        finally:
-            own = _open.pop()
-        out = cut(out)
-        jvm, conf = out.sparkSession._jvm, out.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for path in own:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        return out
+        return tidied(lambda: f(*args, **named))
 
     return run
 

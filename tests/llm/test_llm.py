@@ -630,3 +630,28 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, docs):
     assert taken == after.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
     before, after = seen["packing"]
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_pipeline_of_odd_and_of_empty_tables(spark, odd):
+    """Clashing column names, nulls and repeated rows go through all stages; an empty table stays empty."""
+    import corpus_pipeline
+    from findling.llm.shared import cut
+
+    for rows in (odd.withColumns({"_0": F.lit("x"), "_H": F.lit("y"), "_text_h": F.lit("z")}), spark.createDataFrame([], SCHEMA)):
+        now, empty = rows, rows.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            now = cut(stage(spark, now, DIR))
+            assert name == "packing" or now.columns == rows.columns
+            assert now.isEmpty() == empty
+            if name == "near-duplicates" and not empty:
+                assert [r["doc_id"] for r in now.where("text = 'same words here again and more'").collect()] == [7]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from findling.llm.shared import shared_dir
+
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=context))
