@@ -257,6 +257,8 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
             wanted, tables = index.value.probe(v[i : i + 1024], least, most), index.value.tables(v[i : i + 1024])
             for at, held in inside:
                 asking = np.flatnonzero(wanted[:, at])
+                if not len(asking):
+                    continue
                 far = index.value.distances(v[i + asking], at, codes[held], tables[asking])
                 row, col = np.nonzero(far <= step + errors[held] + 10 * SLACK)
                 for j in range(0, len(row), 65_536):
