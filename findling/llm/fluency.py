@@ -3,11 +3,12 @@
 Words are keyed by `WORD` bits of a hash, so many that different words all but never share a key. Neither the bigram
 counts nor what is kept by word (context totals, numbers of followers seen once, twice and more often, numbers of
 left neighbours) is ever gathered, for both grow with the corpus. Each bigram goes to a shard by low bits of both its
-words (a grid, so that neither a frequent word nor a frequent pair fills one shard; more text, more shards), ten
-bytes each, packed by blocks of documents. A shard counts the trusted bigrams it holds and asks for each of its words:
+words (a grid, so that no frequent word fills a shard; equal pairs share one, and the most frequent pair is a few
+thousandths of a text; more text, more shards), ten bytes each, packed by blocks of documents with the documents that
+have bigrams there. A shard counts the trusted bigrams it holds and asks for each of its words:
 words are dealt into as many parts as there are shards, a part sums what the shards have counted for a word and
 answers each shard that asked. Then the shard joins its documents' bigrams with its counts and the answers and
-returns one number for each document, summed over shards. The shuffle of packed bigrams is made once and read by all
+returns one number for each document that has bigrams there, summed over shards. The shuffle of packed bigrams is made once and read by all
 jobs, which is why this module uses RDD operations for it. Sums are integers, so results do not depend on the order
 of arrival.
 
@@ -38,7 +39,7 @@ from findling.llm.shared import cut, releasing, table
 CLASSES = 19  #: the uniform base of the lower order has 2^19 words, or the different words of all documents if they are more
 WORD = 42  #: bits of a word's key; two more than a bigram's ten bytes hold, as shards tell at least two of each word
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SHARD_CHARS, LEAST_SHARD_BITS = 14_000_000, 6
+SHARD_CHARS, LEAST_SHARD_BITS = 5_000_000, 6
 BLOCK_CHARS, CACHED = 2_000_000, 150_000
 PRIOR, QUANTILE, SPREAD = 20, 0.99, 1.5
 BROADCAST_IDS = 4_000_000  #: trusted keys that are broadcast (8 bytes each); more are joined
@@ -70,7 +71,7 @@ def bigrams(texts: list[str | None], cache: Classes) -> tuple[np.ndarray, np.nda
 
 
 def packed(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, bits: tuple[int, int]) -> Iterator[tuple[int, bytes]]:
-    """(shard, counts of each document's bigrams there, then the lower and the upper bits of the words that the shard does not tell)."""
+    """(shard, the documents that have bigrams there, how many each, then the lower and the upper bits of the words that the shard does not tell)."""
     a, b = map(np.uint64, bits)
     one, low = np.uint64(1), np.uint64(0xFFFFFFFF)
     shard = ((first & ((one << a) - one)) << b | second & ((one << b) - one)).astype(np.uint16 if sum(bits) <= 16 else np.uint32)
@@ -79,10 +80,12 @@ def packed(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, bits: tuple
     high = ((v >> np.uint64(32)) << np.uint64(8) | w >> np.uint64(32)).astype(np.uint16)
     v, w = (v & low).astype(np.uint32), (w & low).astype(np.uint32)
     ends = np.searchsorted(shard, np.arange((1 << sum(bits)) + 1))
-    for s in range(1 << sum(bits)):
+    for s in np.flatnonzero(np.diff(ends)).tolist():
         at = slice(ends[s], ends[s + 1])
-        if at.stop > at.start:
-            yield s, b"".join(x.tobytes() for x in (np.bincount(doc[at], minlength=len(sizes)).astype(np.uint32), v[at], w[at], high[at]))
+        own = doc[at]  # in order, as the sort is stable
+        first_of = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        about = np.concatenate([[len(first_of)], own[first_of], np.diff(np.r_[first_of, len(own)])]).astype(np.uint32)
+        yield s, b"".join(x.tobytes() for x in (about, v[at], w[at], high[at]))
 
 
 class Shard:
@@ -90,15 +93,16 @@ class Shard:
 
     def __init__(self, shard: int, packets: list[tuple[bytes, int, bytes]], bits: tuple[int, int]):
         a, b = bits
-        self.sizes, self.trusted, v, w = [], [], [], []
+        self.docs, self.trusted, v, w = [], [], [], []
         for trust, n, data in packets:
-            sizes = np.frombuffer(data, np.uint32, n)
-            t = int(sizes.sum())
-            high = np.frombuffer(data, np.uint16, t, 4 * n + 8 * t).astype(np.uint64)
-            v.append((np.frombuffer(data, np.uint32, t, 4 * n) | (high >> np.uint64(8)) << np.uint64(32)) << np.uint64(a) | np.uint64(shard >> b))
-            w.append((np.frombuffer(data, np.uint32, t, 4 * n + 4 * t) | (high & np.uint64(255)) << np.uint64(32)) << np.uint64(b) | np.uint64(shard & ((1 << b) - 1)))
-            self.sizes.append(sizes)
-            self.trusted.append(np.repeat(np.unpackbits(np.frombuffer(trust, np.uint8), count=n).astype(bool), sizes))
+            some = int(np.frombuffer(data, np.uint32, 1)[0])
+            docs, sizes = np.frombuffer(data, np.uint32, 2 * some, 4).reshape(2, some)
+            t, head = int(sizes.sum()), 4 + 8 * some
+            high = np.frombuffer(data, np.uint16, t, head + 8 * t).astype(np.uint64)
+            v.append((np.frombuffer(data, np.uint32, t, head) | (high >> np.uint64(8)) << np.uint64(32)) << np.uint64(a) | np.uint64(shard >> b))
+            w.append((np.frombuffer(data, np.uint32, t, head + 4 * t) | (high & np.uint64(255)) << np.uint64(32)) << np.uint64(b) | np.uint64(shard & ((1 << b) - 1)))
+            self.docs.append((docs, sizes))
+            self.trusted.append(np.repeat(np.unpackbits(np.frombuffer(trust, np.uint8), count=n).astype(bool)[docs], sizes))
         v, w, trusted = np.concatenate(v), np.concatenate(w), np.concatenate(self.trusted)
         self.key = v * MIX + w
         self.v, self.at_v = np.unique(v, return_inverse=True)  #: different words, and where each bigram's are among them
@@ -200,8 +204,8 @@ def _answers(asks: dict[int, list]) -> Iterator[tuple[int, tuple[int, bytes]]]:
                 at += n
 
 
-def _scores(number: int, shard: Shard, answers: list[tuple[int, bytes]], model: Model, bits: tuple[int, int]) -> Iterator[np.ndarray]:
-    """For each packet the scaled log probabilities of its documents' bigrams in this shard."""
+def _scores(number: int, shard: Shard, answers: list[tuple[int, bytes]], model: Model, bits: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each packet its documents and the scaled log probabilities of their bigrams in this shard."""
     a, b = bits
     tables = [np.zeros((4, len(shard.v)), np.int64), np.zeros((1, len(shard.w)), np.int64)]
     parts = _parts(shard.v, a, b), _parts(shard.w, b, a)
@@ -210,7 +214,7 @@ def _scores(number: int, shard: Shard, answers: list[tuple[int, bytes]], model:
         tables[side][:, parts[side] == (part >> 1 & ((1 << more) - 1))] = np.frombuffer(data, np.int64).reshape(len(tables[side]), -1)
     model.answered(*tables)
     at = 0
-    for sizes, mine in zip(shard.sizes, shard.trusted, strict=True):
+    for (docs, sizes), mine in zip(shard.docs, shard.trusted, strict=True):
         doc, here = np.repeat(np.arange(len(sizes)), sizes), slice(at, at + len(mine))
         at += len(mine)
         key = shard.key[here]
@@ -223,7 +227,7 @@ def _scores(number: int, shard: Shard, answers: list[tuple[int, bytes]], model:
             times = np.empty(len(k), np.int64)
             times[order] = np.bincount(group)[group]
             own[mine] = times
-        yield np.bincount(doc, np.rint(model.logs(shard.at_v[here], shard.at_w[here], shard.count(key), own) * SCALE), len(sizes)).astype(np.int64)
+        yield docs, np.bincount(doc, np.rint(model.logs(shard.at_v[here], shard.at_w[here], shard.count(key), own) * SCALE), len(sizes)).astype(np.int64)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", trust: str = "quality") -> DataFrame:
@@ -311,26 +315,27 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 if n > 0:
                     by.setdefault(s, []).append((name, (t, n, data)))
                 else:
-                    yield name, (data, None)
+                    yield name, [data]
             for s, named in by.items():
                 shard = Shard(s, [p for _, p in named], bits)
                 for (name, _), x in zip(named, _scores(s, shard, told[s], model.value, bits), strict=True):
-                    yield name, (None, x)
-
-    def merged(x: tuple, y: tuple) -> tuple:
-        return x[0] or y[0], y[1] if x[1] is None else x[1] if y[1] is None else x[1] + y[1]
+                    yield name, [x]
 
     def rows_of(item: tuple) -> Iterator[tuple]:
-        about, total = item[1]
-        found = pa.ipc.open_stream(about).read_all().to_pylist()
-        for r, x in zip(found, total.tolist() if total is not None else [0] * len(found), strict=True):
+        """item: a block and its pieces, the rows and for each shard the documents there with their sums."""
+        found = pa.ipc.open_stream(next(x for x in item[1] if isinstance(x, bytes))).read_all().to_pylist()
+        total = np.zeros(len(found), np.int64)
+        for x in item[1]:
+            if not isinstance(x, bytes):
+                total[x[0]] += x[1]
+        for r, x in zip(found, total.tolist(), strict=True):
             yield r["doc_id"], r["h"], r["lang"], r["n"], r["trusted"], x
 
     def whole(rdd):
         return rdd.mapPartitions(lambda rows: [list(rows)])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("trusted", T.BooleanType()), T.StructField("log_p", T.LongType())])
-    each = whole(dealt.map(tuple)).zip(whole(answered)).mapPartitions(scores).reduceByKey(merged, max(1, min(shards, -(-chars // SHARD_CHARS))))
+    each = whole(dealt.map(tuple)).zip(whole(answered)).mapPartitions(scores).combineByKey(list, lambda x, y: (x.extend(y), x)[1], lambda x, y: (x.extend(y), x)[1], max(1, min(shards, -(-chars // SHARD_CHARS))))
     return cut(spark.createDataFrame(each.flatMap(rows_of), schema))
 
 

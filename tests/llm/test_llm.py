@@ -588,6 +588,22 @@ def test_quality_against_a_plain_model(spark):
         assert got[i] == pytest.approx(logp, abs=1e-3)
 
 
+def test_packets_grow_with_the_text_and_not_with_the_shards():
+    """One block in 64 and in 4096 shards holds the same bigrams in about as many bytes."""
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 600, 800)
+    words = r.zipf(1.3, int(sizes.sum())).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(22)
+    first = np.concatenate([[np.uint64(0)], words[:-1]])
+    held = {}
+    for bits in ((4, 2), (8, 4)):
+        packets = list(fluency.packed(first, words, sizes, bits))
+        held[bits] = sum(len(d) for _, d in packets)
+        trust = np.packbits(np.ones(len(sizes), bool)).tobytes()
+        counts = sum(sum(fluency.Shard(s, [(trust, len(sizes), d)], bits).counts) for s, d in packets)
+        assert counts == len(words)
+    assert held[8, 4] < 2 * held[4, 2]
+
+
 def test_different_words_never_share_a_count(spark):
     """Two words that 2^19 classes cannot tell apart: text of the one does not make the other known."""
     import xxhash
