@@ -305,12 +305,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     asked = dealt.mapPartitions(asks).partitionBy(shards, lambda part: part >> 1)
     model = spark.sparkContext.broadcast(Model(sum(asked.mapPartitions(sums).toLocalIterator())))
-    answered = asked.mapPartitions(answers).partitionBy(shards, lambda s: s)
+    told = spark.createDataFrame(asked.mapPartitions(answers).map(lambda x: (x[0], *x[1])), "shard int, part int, data binary")
+    answered = told.repartitionById(shards, F.col("shard")).rdd  # dealt as the bigrams are, for each shard meets its answers
 
     @releasing
     def scores(pairs: Iterator) -> Iterator:
         for rows, found in pairs:
-            by, told = {}, by_key(found)
+            by, told = {}, by_key((s, (part, data)) for s, part, data in found)
             for s, name, n, t, data in rows:
                 if n > 0:
                     by.setdefault(s, []).append((name, (t, n, data)))
