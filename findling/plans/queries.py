@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findling.functions import dating, jsontext, markup, names, scoring, similarity, values
-from findling.operators import images, indexes, inventory, invalidation, matches, pairs, series, tables, trees, vectors
+from findling.operators import catalogue, images, indexes, inventory, invalidation, matches, pairs, series, tables, trees, vectors
 from findling.plans.standins import views, with_views
 from findling.streaming import micro
 
@@ -835,3 +835,126 @@ def pg25_fitted(v):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lost works against auction works."""
     return _linkage(views(spark, sf_dir))
+
+
+# Catalogue states
+
+
+@query("select id, name, id * 2 as twice from (values (1, 'oil'), (2, 'ink'), (3, null)) t(id, name)")
+def src20_src21_inline_rows(v):
+    rows = catalogue.from_arrays(v["part"].sparkSession, "id int, name string", [1, 2, 3], ["oil", "ink", None])
+    return rows.select("id", "name", (F.col("id") * 2).alias("twice"))
+
+
+@query("select artist_a as id from lost union select artist_b from lost union select artist_id from works")
+def so2_distinct_ids(v):
+    return catalogue.distinct_ids((v["lost"], "artist_a"), (v["lost"], "artist_b"), (v["works"], "artist_id"))
+
+
+@query("""select 'lost' as kind, lost_id as id, title from lost union all select 'auction', auction_id, title from auction
+    union all select 'people', artist_id, null from people union all select 'image', image_id, null from images""")
+def so3_tagged_union(v):
+    tables_ = {"lost": v["lost"].select(F.col("lost_id").alias("id"), "title"), "auction": v["auction"].select(F.col("auction_id").alias("id"), "title"), "people": v["people"].select(F.col("artist_id").alias("id")), "image": v["images"].select(F.col("image_id").alias("id"))}
+    return catalogue.tagged_union(**tables_).select("kind", "id", "title")
+
+
+@query("select source, list_sort(list(distinct total)) as totals from runs group by source")
+def ag11_distinct_array(v):
+    return v["runs"].groupBy("source").agg(F.array_sort(F.collect_set("total")).alias("totals"))
+
+
+@query("select file_path, min(image_id) as image_id from images group by file_path")
+def ag13_min_id_by_path(v):
+    return v["images"].groupBy("file_path").agg(F.min("image_id").alias("image_id"))
+
+
+@query("select count(distinct l_linenumber) as parts, count(*) as n_rows, count(distinct l_orderkey) as auctions from lineitem")
+def ag14_ranking_summary(v):
+    return catalogue.ranking_summary(v["lineitem"], "l_linenumber", "l_orderkey")
+
+
+@query("""select platform, count(*) as files, sum(size) as bytes from (select distinct n_name as platform, file_path from links join images using (image_id)
+    join works using (auction_id) join nation on n_nationkey = artist_id % 25 where file_path is not null) join (select file_path, max(image_id) * 100 as size from images where not cleaned group by file_path) using (file_path) group by platform""")
+def ag20_x18_storage_stats(v):
+    works = v["works"].select("auction_id", (F.col("artist_id") % 25).alias("platform_id"))
+    platforms = v["nation"].select(F.col("n_nationkey").alias("platform_id"), F.col("n_name").alias("platform"))
+    files = v["images"].where("not cleaned").groupBy("file_path").agg((F.max("image_id") * 100).alias("bytes"))
+    return catalogue.storage_stats(catalogue.storage_paths(v["links"], v["images"], works, platforms), files, "platform")
+
+
+@query("select 'lost' as source, count(*) as entries from lost union all select cast(platform_id as varchar), count(*) from auction group by platform_id")
+def x20_entry_counts(v):
+    return catalogue.entry_counts(v["lost"], v["auction"], "platform_id")
+
+
+@query("select distinct l_partkey as lost_id, l_suppkey as auction_id from lineitem where not exists (select 1 from lineitem a where a.l_quantity > 5 and a.l_partkey = lineitem.l_partkey and a.l_suppkey = lineitem.l_suppkey)")
+def x12_x13_not_advertised(v):
+    rows = v["lineitem"].select(F.col("l_partkey").alias("lost_id"), F.col("l_suppkey").alias("auction_id"), "l_quantity")
+    return catalogue.not_advertised(rows, rows.where("l_quantity > 5"), ["lost_id", "auction_id"])
+
+
+@query(f"select image_id, case when exists (select 1 from lineitem where l_partkey = image_id and l_quantity > 48) then null else file_path end as file_path, case when exists (select 1 from lineitem where l_partkey = image_id and l_quantity > 48) then timestamp '{NOW}' end as cleaned_at from images")
+def x10_cleaned(v):
+    done = v["lineitem"].where("l_quantity > 48").select(F.col("l_partkey").alias("image_id"))
+    return catalogue.cleaned(v["images"], done, now()).select("image_id", "file_path", "cleaned_at")
+
+
+@query("select auction_id, platform_id from auction where platform_id is distinct from 3")
+def x17_without_platform(v):
+    return catalogue.without(v["auction"], "platform_id", 3).select("auction_id", "platform_id")
+
+
+@query("select lost_id, auction_id from scores where metadata_final_score is null and image_final_score is not null and auction_id in (select o_orderkey * 8 + 4 from orders where o_orderstatus = 'F')")
+def x8_image_only_pairs(v):
+    batch = v["orders"].where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 8 + 4).alias("auction_id"))
+    return catalogue.image_only_pairs(v["scores"], batch)
+
+
+@query("select auction_id, processed and auction_id not in (select l_orderkey from lineitem where l_quantity > 45) as processed from works")
+def snk6_invalidated_metadata(v):
+    hit = v["lineitem"].where("l_quantity > 45").select(F.col("l_orderkey").alias("auction_id"))
+    return catalogue.invalidated_metadata(v["works"], hit).select("auction_id", "processed")
+
+
+@query("""with c as (select distinct o_custkey as k, date '2001-06-01' as day from orders where o_orderstatus = 'F')
+    select k, day from c union all select c_custkey, date '2001-06-01' from customer where c_custkey not in (select k from c)""")
+def snk21_claimed(v):
+    day = F.lit("2001-06-01").cast("date")
+    claims = v["orders"].where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), day.alias("day")).distinct()
+    return catalogue.claimed(claims, day, v["customer"].select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("select source, run_at, total from runs where source = 2 order by run_at desc, source limit 10")
+def st7_history(v):
+    return catalogue.history(v["runs"], 10, "2").select("source", "run_at", "total")
+
+
+@query("""select auction_id, list(image_id order by case when error_free then 0 else 1 end, image_id) as images, first(image_id order by case when error_free then 0 else 1 end, image_id) as primary_image
+    from (select auction_id, image_id, bool_or(error_free) as error_free from links group by auction_id, image_id) group by auction_id""")
+def st6_x27_primary_first(v):
+    each = v["links"].groupBy("auction_id", "image_id").agg(F.bool_or("error_free").alias("is_primary"))
+    x = each.groupBy("auction_id").agg(F.collect_list(F.struct("is_primary", F.col("image_id").alias("place"))).alias("own"))
+    x = x.withColumn("images", F.transform(catalogue.primary_first(F.col("own")), lambda e: e["place"]))
+    return x.select("auction_id", "images", F.element_at("images", 1).alias("primary_image"))
+
+
+@query("select * exclude rn from (select l_partkey, l_orderkey, l_quantity, row_number() over (partition by l_partkey order by l_quantity desc, l_orderkey, l_linenumber) as rn from lineitem) where rn = 1")
+def x22_first_per_key(v):
+    return catalogue.first_per_key(v["lineitem"], ["l_partkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")]).select("l_partkey", "l_orderkey", "l_quantity")
+
+
+@query("select c_custkey, coalesce(nullif(trim(case when c_custkey % 3 = 0 then ' ' when c_custkey % 3 = 1 then null else c_name end), ''), nullif(trim(case when c_custkey % 2 = 0 then c_mktsegment end), ''), '-') as label from customer")
+def pr3_label(v):
+    name = F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, F.lit(None)).otherwise(F.col("c_name"))
+    return v["customer"].select("c_custkey", catalogue.label_or("-", name, F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).alias("label"))
+
+
+@query("select o_orderkey, greatest(0.0, least(100.0, coalesce(try_cast(case when o_orderkey % 5 = 0 then 'x' else cast(o_orderkey % 150 - 20 as varchar) end as double), 50.0))) as weight from orders")
+def flt16_clamped(v):
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("x")).otherwise((F.col("o_orderkey") % 150 - 20).cast("string"))
+    return v["orders"].select("o_orderkey", catalogue.clamped(text, 0.0, 100.0, 50.0).alias("weight"))
+
+
+@query("select p_partkey, [(p_size + 0.5) / (p_size % 4 + 1) - 0.5, (p_partkey + 0.5) / (p_size % 4 + 1) - 0.5] as at from part")
+def pr8_rescaled(v):
+    return v["part"].select("p_partkey", catalogue.rescaled(F.array(F.col("p_size").cast("double"), F.col("p_partkey").cast("double")), (F.col("p_size") % 4 + 1).cast("double")).alias("at"))
