@@ -24,12 +24,23 @@ def budget(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(row_bytes(*rows.columns)).alias("bytes"))
 
 
-def byte_pages(rows: DataFrame, keys: list[str], most: int, part: Column | None = None) -> DataFrame:
-    """Adds `page`: rows in key order, a new page wherever the running size passes a multiple of most. part divides large tables into ranges that are paged apart."""
-    w = (Window.partitionBy("_part") if part is not None else Window.partitionBy(F.lit(0))).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("_b", row_bytes(*rows.columns))
-    x = x.withColumn("_part", part) if part is not None else x
-    return x.withColumn("page", F.floor((F.sum("_b").over(w) - F.col("_b")) / most).cast("long")).drop("_b")
+def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str, ranges: int = 256) -> DataFrame:
+    """Adds the sum of value over all rows up to each in key order. Ranges of the first key, told by a sample of at most 16 keys for each, are summed apart; only their totals, a row for each range, meet in one task."""
+    first = F.col(keys[0])
+    some = rows.select(first.alias("b")).where("b is not null").orderBy(F.xxhash64("b"), "b").limit(16 * ranges).orderBy("b").collect()
+    bounds = [r["b"] for r in some[16::16]]
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < first)) if bounds else F.lit(0)
+    x = rows.withColumns({"_range": at, "_value": value})
+    total = x.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    before = total.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_value", "_own", "_before")
+
+
+def byte_pages(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Adds `page`: rows in key order, a new page wherever the running size passes a multiple of most."""
+    x = running_sum(rows.withColumn("_b", row_bytes(*rows.columns)), keys, F.col("_b"), "_upto")
+    return x.withColumn("page", F.floor((F.col("_upto") - F.col("_b")) / most).cast("long")).drop("_b", "_upto")
 
 
 def entity_hash(*columns: str) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findling.operators.inventory import running_sum
+
 
 def differs(columns: list[str], a: str = "o", b: str = "n") -> Column:
     """Whether any of the columns differs, nulls being equal to each other."""
@@ -54,7 +56,7 @@ def get_or_create(table: DataFrame, names: DataFrame, key: str, name: str) -> Da
     known = table.groupBy(F.lower(F.trim(name)).alias("_k")).agg(F.min(key).alias("_id"))
     wanted = names.where(F.trim(name) != "").groupBy(F.lower(F.trim(name)).alias("_k")).agg(F.min(F.trim(name)).alias(name)).join(known, "_k", "left")
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    fresh = wanted.where("_id is null").crossJoin(F.broadcast(top)).withColumn("_at", F.row_number().over(Window.orderBy("_k")))
+    fresh = running_sum(wanted.where("_id is null"), ["_k"], F.lit(1), "_at").crossJoin(F.broadcast(top))
     return wanted.where("_id is not null").select(name, F.col("_id").cast("long").alias(key), F.lit(False).alias("created")).union(fresh.select(name, (F.col("_top") + F.col("_at")).cast("long"), F.lit(True)))
 
 

@@ -125,3 +125,17 @@ def test_pairs_against_all_pairs(spark):
             assert x["final_score"] == pytest.approx(sum(w * sims[c] for c, w in pairs.scoring.WEIGHTS.items() if sims[c] is not None) / bottom if bottom else 0)
             best = [similarity.jaro_winkler_pair(n.lower(), b[2].lower()) for n in a[2] if n != "unbekannt"] if b[2] and b[2] != "unbekannt" else []
             assert sims["artist"] == (max(best) if best else None)
+
+
+def test_running_sums_of_ranges(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, r.randint(0, 500)]), i, r.randint(0, 9)) for i in range(3000)]
+    got = inventory.running_sum(spark.createDataFrame(rows, "k int, i int, v int"), ["k", "i"], F.col("v"), "s", ranges=8).collect()
+    upto, want = 0, {}
+    for k, i, v in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        upto += v
+        want[i] = upto
+    assert {x["i"]: x["s"] for x in got} == want
+    names = inventory.running_sum(spark.createDataFrame([(c,) for c in "banana"], "k string").distinct(), ["k"], F.lit(1), "s").collect()
+    assert sorted(map(tuple, names)) == [("a", 1), ("b", 2), ("n", 3)]
+    assert inventory.running_sum(spark.createDataFrame([], "k int, v int"), ["k"], F.col("v"), "s").count() == 0
