@@ -95,7 +95,7 @@ class Encoder(dict):
             return self._ids(text)
         raw = text.encode("utf-8", "replace").lower()
         if not text.isascii():
-            for c in {c for c in text if c > "\x7f"}:
+            for c in {c for c in set(text) if c > "\x7f"}:
                 if c not in self.apart:
                     self.apart[c] = self._stands_apart(c)
                 if not self.apart[c]:
