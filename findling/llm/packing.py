@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findling.llm.shared import cut, releasing, table
+from findling.llm.shared import cut, releasing, small_batches, table
 
 LENGTH, STEP, CLOSING, GAP, SHARD = 4096, 8, 2, 2e-4, 20_000
 CACHED, LONGEST_CACHED = 300_000, 16
@@ -207,7 +207,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP)
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, step: int = STEP, closing: int = CLOSING, gap: float = GAP, shard: int = SHARD) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
     spark = docs.sparkSession
-    cutup = cut(pieces(docs, tokenizer, key, text, length, closing).withColumn("size", F.ceil(F.col("length") / step).cast("int")))
+    with small_batches(spark):
+        cutup = cut(pieces(docs, tokenizer, key, text, length, closing).withColumn("size", F.ceil(F.col("length") / step).cast("int")))
     counts = {r["size"]: r["n"] for r in cutup.groupBy("size").agg(F.count("*").alias("n")).collect()}  # length / step rows at most
     sizes = np.array(sorted(counts), np.int64)
     demand = np.array([counts[s] for s in sizes], np.int64)

@@ -7,8 +7,8 @@ import ctypes
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 import pyarrow as pa
@@ -92,6 +92,23 @@ def releasing(f: Callable) -> Callable:
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512, most: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes in the jobs run within: whole texts pass through an executor's memory outside the heap, twice for each task."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name, None) for name in names]
+    for name, value in zip(names, (str(rows), most), strict=True):
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df marked for a broadcast if it has so many short rows at most; beyond that the join shuffles."""
     return F.broadcast(df) if df.count() <= rows else df
