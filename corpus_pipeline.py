@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.llm import fluency, minhash, mixing, packing, personal
-from findling.llm.shared import cut, sized, table, tidied
+from findling.llm.shared import cut, sized, small_batches, table, tidied
 
 
 def free(docs: DataFrame, n: int) -> list[str]:
@@ -35,7 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more; the smallest doc_id stays."""
     i, h, own = free(docs, 3)
-    found = cut(minhash.near_duplicates(docs, words=5, percent=80, bands=32).where("root is not null").select("doc_id", "h", "root"))
+    with small_batches(spark):
+        found = cut(minhash.near_duplicates(docs, words=5, percent=80, bands=32).where("root is not null").select("doc_id", "h", "root"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     spare = found.join(first, "root").where(~F.struct("doc_id", "h").eqNullSafe(F.col("first")))
     spare = cut(spare.select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct())
@@ -52,7 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data replaced by their kind."""
-    return personal.redact(docs, personal.fit(docs), chars="n_chars")
+    with small_batches(spark):
+        model = personal.fit(docs)
+    return personal.redact(docs, model, chars="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
