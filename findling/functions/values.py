@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CENTIMETRES = {"mm": 0.1, "cm": 1.0, "in": 2.54, "inch": 2.54, "inches": 2.54, '"': 2.54, "''": 2.54, "ft": 30.48, "feet": 30.48, "foot": 30.48, "'": 30.48}
 # Words that part materials and techniques.
 CONNECTIVES = ("and", "und", "mit", "over", "et", "auf", "über")
+# Ranks of an image's size classes; others rank 0.
+SIZE_CLASSES = {"extraextralarge": 5, "extra_large": 4, "extralarge": 4, "large": 3, "medium": 2, "small": 1}
 _MONEY = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 
 
@@ -154,3 +156,31 @@ def safe_url(url: Column) -> Column:
 
 def safe_path(path: Column) -> Column:
     return F.coalesce(~path.startswith("/") & ~F.array_contains(F.split(path, "[/\\\\]"), ".."), F.lit(False))
+
+
+def flattened(entries: Column) -> Column:
+    """A list's filled entries, white space collapsed, parted by bars; an empty text for none."""
+    clean = F.transform(entries, lambda e: F.regexp_replace(F.regexp_replace(e, r"(?U)\s+", " "), "^ | $", ""))
+    return F.coalesce(F.array_join(F.filter(clean, lambda e: e != ""), " | "), F.lit(""))
+
+
+def canonical_path(path: Column, root: str, prefix: str) -> Column:
+    """A stored file's path below prefix: paths below root are moved there, relative ones put there, other absolute ones kept."""
+    own = F.regexp_replace(F.trim(path), r"^\./", "")
+    moved = F.concat(F.lit(prefix), F.substring(own, F.lit(len(root) + 1), F.length(own)))
+    there = (own == prefix) | own.startswith(f"{prefix}/")
+    below = own.startswith(f"{root}/") if root else F.lit(False)
+    return F.when(there, own).when(below, moved).when(own.startswith("/"), own).otherwise(F.concat(F.lit(f"{prefix}/"), own))
+
+
+def best_rendition(renditions: Column) -> Column:
+    """The url of the largest of array<struct<url, size, width, height>>: by size class, then area, then place; null without one."""
+    rank = lambda size: F.coalesce(*(F.when(F.lower(size) == k, F.lit(n)) for k, n in SIZE_CLASSES.items()), F.lit(0))
+    area = lambda r: F.coalesce(r["width"].cast("long") * r["height"].cast("long"), F.lit(0))
+    scored = F.transform(renditions, lambda r, i: F.struct(rank(r["size"]).alias("rank"), area(r).alias("area"), (-i).alias("place"), r["url"].alias("url")))
+    return F.nullif(F.array_max(scored)["url"], F.lit(""))
+
+
+def rendition_urls(images: Column) -> Column:
+    """Each image's best rendition, each url once, in order."""
+    return F.array_distinct(F.filter(F.transform(images, best_rendition), lambda u: u.isNotNull()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findling.functions import values
+
 
 def from_arrays(spark: SparkSession, schema: str, *arrays: list) -> DataFrame:
     """Parallel parameter arrays as rows; they must be of one length."""
@@ -116,3 +118,17 @@ def clamped(value: Column, least: float, most: float, otherwise: float) -> Colum
 def rescaled(coordinates: Column, scale: Column) -> Column:
     """Pixel centres in an image scaled by scale, in the original's coordinates."""
     return F.transform(coordinates, lambda k: (k + 0.5) / scale - 0.5)
+
+
+def dictionary_names(rows: DataFrame, raw: str, variants: DataFrame, root: str, out: str = "names") -> DataFrame:
+    """rows with the dictionary names of a text's tokens, each once, in order; [root] for a null or blank text or one without a hit.
+
+    variants: (key, names), a key once and in lower case. Each different text is looked up once.
+    """
+    texts = rows.select(F.col(raw).alias("_raw")).where("_raw is not null").distinct()
+    parts = texts.select("_raw", F.posexplode(values.tokens(F.col("_raw"))).alias("_at", "_key"))
+    hits = parts.join(variants.select(F.col("key").alias("_key"), F.col("names").alias("_names")), "_key")
+    found = hits.groupBy("_raw").agg(F.array_sort(F.collect_list(F.struct("_at", "_names"))).alias("_hits"))
+    found = found.select("_raw", F.array_distinct(F.flatten(F.col("_hits._names"))).alias("_found"))
+    own = rows.join(found, F.col(raw) == F.col("_raw"), "left").drop("_raw")
+    return own.withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.lit(root)))).drop("_found")

@@ -958,3 +958,38 @@ def flt16_clamped(v):
 @query("select p_partkey, [(p_size + 0.5) / (p_size % 4 + 1) - 0.5, (p_partkey + 0.5) / (p_size % 4 + 1) - 0.5] as at from part")
 def pr8_rescaled(v):
     return v["part"].select("p_partkey", catalogue.rescaled(F.array(F.col("p_size").cast("double"), F.col("p_partkey").cast("double")), (F.col("p_size") % 4 + 1).cast("double")).alias("at"))
+
+
+@query("select p_partkey, case when p_partkey % 4 = 1 then '/data/' else 'img/' end || p_partkey as file_path from part")
+def flt13_canonical_path(v):
+    k = F.col("p_partkey") % 4
+    start = F.when(k == 0, "img/").when(k == 1, "/data/").when(k == 2, " ./").otherwise("/store/img/")
+    return v["part"].select("p_partkey", values.canonical_path(F.concat(start, "p_partkey"), "/store/img", "img").alias("file_path"))
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then '' else p_name || ' | ' || p_brand end as entries from part")
+def nr11_flattened(v):
+    some = F.array(F.concat(F.lit("  "), "p_name", F.lit("\n")), F.lit(" "), F.lit(None).cast("string"), F.col("p_brand"))
+    return v["part"].select("p_partkey", values.flattened(F.when(F.col("p_partkey") % 3 != 0, some)).alias("entries"))
+
+
+@query("""select c_custkey, case when c_nationkey % 3 = 2 then [n_name, r_name] else ['unknown'] end as names
+    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def nr20_dictionary_names(v):
+    nations = v["nation"].join(v["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    variants = nations.select(F.lower("n_name").alias("key"), F.array("n_name", "r_name").alias("names"))
+    rows = v["customer"].join(v["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_nationkey") % 3
+    raw = F.when(k == 1, "no such / word").when(k == 2, F.concat("n_name", F.lit(", no such; "), F.lower("n_name")))
+    return catalogue.dictionary_names(rows.select("c_custkey", raw.alias("raw")), "raw", variants, "unknown").select("c_custkey", "names")
+
+
+@query("select p_partkey, ['b/' || p_partkey, 'd/' || p_partkey] as urls from part")
+def pg12_rendition_urls(v):
+    def image(*renditions):
+        url = lambda name: F.concat(F.lit(name), "p_partkey") if name else F.lit("")
+        return F.array(*(F.struct(url(n).alias("url"), F.lit(s).alias("size"), F.lit(w).cast("int").alias("width"), F.col("p_size").alias("height")) for n, s, w in renditions))
+
+    first = image(("a/", "large", 900), ("b/", "Extra_Large", 10), ("c/", "extralarge", None))
+    images_ = F.array(first, image(("d/", "small", 1), ("e/", "other", 900)), first, image(("", "large", 1)), F.array().cast("array<struct<url:string,size:string,width:int,height:int>>"))
+    return v["part"].select("p_partkey", values.rendition_urls(images_).alias("urls"))
