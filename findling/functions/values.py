@@ -184,3 +184,15 @@ def best_rendition(renditions: Column) -> Column:
 def rendition_urls(images: Column) -> Column:
     """Each image's best rendition, each url once, in order."""
     return F.array_distinct(F.filter(F.transform(images, best_rendition), lambda u: u.isNotNull()))
+
+
+def payload(columns: dict[str, Column], no_zeros: tuple[str, ...] = ()) -> Column:
+    """JSON of what is filled: nulls and blank texts are left out, and zeros of the columns in no_zeros; {} where nothing is."""
+
+    def filled(name: str, c: Column) -> Column:
+        empty = F.trim(c.cast("string")) == ""
+        if name in no_zeros:
+            empty = empty | (c == 0)
+        return F.when(~empty, c).alias(name)
+
+    return F.to_json(F.struct(*(filled(k, c) for k, c in columns.items())), {"ignoreNullFields": "true"})

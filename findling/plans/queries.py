@@ -993,3 +993,11 @@ def pg12_rendition_urls(v):
     first = image(("a/", "large", 900), ("b/", "Extra_Large", 10), ("c/", "extralarge", None))
     images_ = F.array(first, image(("d/", "small", 1), ("e/", "other", 900)), first, image(("", "large", 1)), F.array().cast("array<struct<url:string,size:string,width:int,height:int>>"))
     return v["part"].select("p_partkey", values.rendition_urls(images_).alias("urls"))
+
+
+@query("""select o_orderkey, '{' || case when o_orderkey % 3 = 0 then '' else '"lotNumber":"' || o_orderkey || '",' end
+    || case when o_orderkey % 4 = 0 then '' else '"estimateLow":' || o_orderkey % 4 || ',' end || '"isUnsold":' || case when o_orderstatus = 'F' then 'true' else 'false' end || '}' as details from orders""")
+def flt15_payload(v):
+    lot = F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderkey").cast("string"))
+    own = {"lotNumber": lot, "saleUrl": F.lit(None).cast("string"), "estimateLow": F.col("o_orderkey") % 4, "isUnsold": F.col("o_orderstatus") == "F"}
+    return v["orders"].select("o_orderkey", values.payload(own, ("estimateLow",)).alias("details"))

@@ -122,3 +122,18 @@ def test_json_and_markup():
     assert jsontext.last_complete('{"a": 1} ```', frozenset("a")) == {"a": 1} and jsontext.last_complete('{"a": 1} tail', frozenset("a")) is None
     assert jsontext.balanced('x = {"a": "}", b: [1]};', 4) == '{"a": "}", b: [1]}'
     assert markup.pairs_of("<table><tr><th>Size:</th><td>3 <b>x</b> 4</td></tr></table><dl><dt>Type</dt><dd>Oil</dd></dl>") == [("Size", "3 x 4"), ("Type", "Oil")]
+
+
+def test_paths_lists_and_payloads(spark):
+    path = lambda p: one(spark, values.canonical_path(F.lit(p).cast("string"), "/store/img", "img"))
+    assert [path(p) for p in ("img", "img/a", "imgs/a", "/store/img/a", "/store/imgs/a", " ./b ", None)] == ["img", "img/a", "img/imgs/a", "img/a", "/store/imgs/a", "img/b", None]
+    assert one(spark, values.flattened(F.lit(None).cast("array<string>"))) == "" == one(spark, values.flattened(F.array(F.lit("\n "))))
+    assert one(spark, values.payload({"a": F.lit(" "), "b": F.lit(0)}, ("b",))) == "{}"
+    assert one(spark, values.payload({"a": F.lit("0"), "b": F.lit(0)})) == '{"a":"0","b":0}'
+
+
+def test_best_rendition_takes_the_first_of_ties(spark):
+    kind = "array<struct<url:string,size:string,width:int,height:int>>"
+    best = lambda rows: spark.createDataFrame([(rows,)], f"r {kind}").select(values.best_rendition(F.col("r")).alias("x")).first()["x"]
+    assert best([("z", "LARGE", 1, 2), ("a", "large", 2, 1), ("b", None, 90, 90)]) == "z"
+    assert best([("", "large", 1, 1), ("a", "small", 1, 1)]) is None and best([]) is None and best(None) is None

@@ -139,3 +139,12 @@ def test_running_sums_of_ranges(spark):
     names = inventory.running_sum(spark.createDataFrame([(c,) for c in "banana"], "k string").distinct(), ["k"], F.lit(1), "s").collect()
     assert sorted(map(tuple, names)) == [("a", 1), ("b", 2), ("n", 3)]
     assert inventory.running_sum(spark.createDataFrame([], "k int, v int"), ["k"], F.col("v"), "s").count() == 0
+
+
+def test_dictionary_names_in_order_with_the_root_for_the_rest(spark):
+    from findling.operators import catalogue
+
+    variants = spark.createDataFrame([("öl", ["Öl"]), ("holz", ["Holz", "Öl"]), ("leer", [])], "key string, names array<string>")
+    rows = spark.createDataFrame([(1, "Holz und Öl"), (2, "Öl, Holz, Öl"), (3, None), (4, " "), (5, "Blech"), (6, "leer"), (7, "Holz und Öl")], "k int, raw string")
+    got = {r["k"]: r["names"] for r in catalogue.dictionary_names(rows, "raw", variants, "?").collect()}
+    assert got == {1: ["Holz", "Öl"], 2: ["Öl", "Holz"], 3: ["?"], 4: ["?"], 5: ["?"], 6: ["?"], 7: ["Holz", "Öl"]}
