@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findling.llm import fluency, licences, minhash, mixing, packing, personal, product, secrets, toxicity, transport
+from findling.llm import bytepairs, codes, divergence, fluency, licences, minhash, mixing, packing, personal, product, secrets, toxicity, transport
 
 QUERIES = {
     "op1_transport_streams": transport.op1_transport_streams,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_cutting_stock": packing.op8_cutting_stock,
     "op9_product_quantisation": product.op9_product_quantisation,
     "op10_kneser_ney": fluency.op10_kneser_ney,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_byte_pairs": bytepairs.op12_byte_pairs,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
-SQL = {"op3_sainte_lague": mixing.OP3_SQL}
+SQL = {"op3_sainte_lague": mixing.OP3_SQL, "op11_source_divergence": divergence.OP11_SQL, "op13_vector_codes": codes.OP13_SQL}
