@@ -7,57 +7,63 @@ from pyspark.sql import functions as F
 
 LAST_YEAR, HEDGE = 2026, 5
 
-# Words before or behind an approximate year, words before a dated year, and what stands behind a century's number, in German, English and French.
-ABOUT = ("ca", "ca.", "c", "c.", "circa", "um", "wohl um", "about", "around", "vers", "env", "env.", "environ")
-DATED = ("dat", "dat.", "datiert", "datiert.", "dated", "datato", "date", "date.", "datee", "datee.", "daté", "daté.", "datée", "datée.")
-ORDINALS = {"german": ("", "."), "english": ("st", "nd", "rd", "th"), "french": ("", "e", "er", "eme", "ème")}
-CENTURIES = {
-    "german": ("jahrhundert", "jhdt", "jhdt.", "jh", "jh."),
-    "english": ("century", "cent", "cent.", "c", "c."),
-    "french": ("siecle", "siecle.", "siecles", "siecles.", "siècle", "siècle.", "siècles", "siècles.", "siècl.", "siècl..", "s.", "s.."),
+# Words of each kind, in German, English and French, without accents and dots.
+KINDS = {
+    "a": ("ca", "circa", "um", "around", "about", "vers", "env", "environ"),
+    "d": ("dat", "datiert", "dated", "datato", "date", "datee"),
+    "g": ("jahrhundert", "jhdt", "jh"),
+    "e": ("century", "cent"),
+    "f": ("siecle", "siecles", "siecl", "s"),
+    "n": ("st", "nd", "rd", "th"),
+    "o": ("er", "eme"),
+    "c": ("c",),
+    "x": ("e",),
+    "w": ("wohl",),
 }
 
 
-def _one_of(words: tuple[str, ...]) -> str:
-    """A pattern of any of the words; a space stands for white space."""
-    return "(?:" + "|".join(w.replace(".", r"\.").replace(" ", r"\s+") for w in words) + ")"
-
-
 # What parts of a century and of a decade span.
 CENTURY_PARTS = {"full": (0, 100), "early": (0, 25), "q1": (0, 25), "q2": (25, 50), "mid": (25, 75), "first_half": (0, 50), "q3": (50, 75), "second_half": (50, 100), "late": (75, 100), "q4": (75, 100)}
 DECADE_PARTS = {"full": (0, 10), "early": (0, 5), "mid": (3, 7), "late": (5, 10)}
 
 
 def parse_dating(text: Column) -> Column:
-    """struct(start, end, matched): the first form that the whole text has, else not matched."""
-    t = F.lower(F.regexp_replace(F.regexp_replace(text, "[–—]", "-"), r"(?U)^\s+|\s+$", ""))
-    part = lambda p, i: F.try_element_at(F.regexp_extract_all(t, F.lit(f"^{p}$"), F.lit(i)), F.lit(1)).cast("int")
-    out = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(True).alias("matched"))
-    span, short = r"(\d{4})\s*[-/]\s*(\d{4})", r"(\d{4})\s*[-/]\s*(\d{2})"
-    forms = [(span, out(part(span, 1), part(span, 2)))]
-    first, two = part(short, 1), part(short, 2)
-    near = first - first % 100 + two
-    forms.append((short, out(first, F.when(near < first, near + 100).otherwise(near))))
-    about, dated = _one_of(ABOUT), _one_of(DATED) + r"\s*(\d{4})"
-    forms.append((dated, out(part(dated, 1), part(dated, 1))))
-    for bracket in (r"\[(\d{1,2})\](\d{2})", r"\((\d{1,2})\)(\d{2})"):
-        year = part(bracket, 1) * 100 + part(bracket, 2)
-        forms.append((bracket, out(year, year)))
-    forms.append((r"(\d{2})", out(part(r"(\d{2})", 1), part(r"(\d{2})", 1))))
-    for language, words in CENTURIES.items():
-        pattern = rf"(\d{{1,2}}){_one_of(ORDINALS[language])}\s*{_one_of(words)}"
-        start = (part(pattern, 1) - 1) * 100
-        forms.append((pattern, out(start, start + 100)))
-    unsure = r"(\d{4})\s*\(\?\)"
-    forms.append((unsure, out(part(unsure, 1), part(unsure, 1))))
-    for pattern in (rf"{about}\s+(\d{{4}})(?:\s*\({about}\))?", rf"(\d{{4}})\s*\({about}\)"):
-        year = part(pattern, 1)
-        forms.append((pattern, out(year - HEDGE, year + HEDGE)))
-    forms.append((r"(\d{4})", out(part(r"(\d{4})", 1), part(r"(\d{4})", 1))))
-    nothing = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("matched"))
-    case = nothing
-    for pattern, value in reversed(forms):
-        case = F.when(t.rlike(f"^{pattern}$"), value).otherwise(case)
+    """struct(start, end, matched) of a text that is one dating as a whole, else not matched.
+
+    The text is folded (case, accents, dashes, dots behind words) and cut to numbers, words, single spaces and signs.
+    Each token has a kind of one letter: Y for four digits, T for two, D for one, those of KINDS for words, itself for
+    a sign. The kinds in a row are the text's shape, which names the form; years are read off the numbers.
+    """
+    t = F.translate(F.lower(text), "–—éèê", "--eee")
+    t = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), r"([a-z])\.+", "$1"), r" ?([-/]) ?", "$1")
+    tokens = F.regexp_extract_all(t, F.lit(r"\d+|[a-z]+|."), F.lit(0))
+    named = F.create_map(*(F.lit(x) for kind, words in KINDS.items() for w in words for x in (w, kind)))
+    number = lambda w: w.rlike("^[0-9]+$")
+    kind = lambda w: F.when(number(w), F.when(F.length(w) == 4, "Y").when(F.length(w) == 2, "T").when(F.length(w) == 1, "D").otherwise("#")).when(w.rlike("^[a-z]"), F.coalesce(F.try_element_at(named, w), F.lit("?w"))).otherwise(w)
+    shape = F.array_join(F.transform(tokens, kind), "")
+    numbers = F.transform(F.filter(tokens, number), lambda w: w.cast("long"))
+    read = F.struct(shape.alias("shape"), F.get(numbers, F.lit(0)).alias("one"), F.get(numbers, F.lit(1)).alias("two"))
+    return F.get(F.transform(F.array(read), _form), F.lit(0))  # a lambda, so that the text is read once for all forms
+
+
+def _form(read: Column) -> Column:
+    one, two = read["one"], read["two"]
+    second = one - one % 100 + two
+    joined, century = one * 100 + two, (one - 1) * 100
+    forms = [
+        ("Y[-/]Y", one, two),
+        ("Y[-/]T", one, F.when(second < one, second + 100).otherwise(second)),
+        ("d ?Y", one, one),
+        (r"\[[DT]\]T|\([DT]\)T", joined, joined),
+        ("T", one, one),
+        (r"[DT]\.? ?g|[DT]n ?[ec]|[DT][ox]? ?f", century, century + 100),
+        (r"Y ?\(\?\)", one, one),
+        (r"(?:w )?[ac] Y(?: ?\((?:w )?[ac]\))?|Y ?\((?:w )?[ac]\)", one - HEDGE, one + HEDGE),
+        ("Y", one, one),
+    ]
+    case = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("matched"))
+    for form, start, end in reversed(forms):
+        case = F.when(read["shape"].rlike(f"^(?:{form})$"), F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(True).alias("matched"))).otherwise(case)
     return case
 
 

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from findling.functions.lifedates import fused, inline, life, parenthesised
+
+__all__ = ["artist_name", "cased", "life", "normal_name"]
+
 # Name words of several kinds.
 UNKNOWN = r"unbekannt\w*|unknown\w*|unidentified|anon(?:ym\w*|iem|ymous)?|n\.?\s*n\.?|artist unknown|künstler unbekannt"
 ATTRIBUTIONS = r"zugeschrieben|zugeschr\.?|attributed to|attribué à|attr\.?(?: to)?|wohl|vermutlich|presumably|probably"
@@ -19,32 +23,6 @@ COLLECTIVES = r"(?i)\b(?:manufaktur|manufacture|manufactory|werkstätte|school|s
 SEVERAL = frozenset(("und", "and", "&", "or", "sowie"))
 NATIONS = frozenset("german deutsch deutscher dutch niederländisch french französisch italian italienisch english englisch british american flemish austrian swiss spanish russian polish".split())
 
-_YEAR = r"(?:ca?\.?\s*|um\s*|circa\s*|about\s*)?(\d{4})"
-_PLACE = r"(ebenda|ebd\.?|ibid\.?|[A-ZÀ-Þ][^\d,;()/]*?)"
-_LIVES = [
-    (re.compile(rf"^{_YEAR}\s+{_PLACE}\s*[-–—]\s*{_YEAR}\s+{_PLACE}$"), ("dob", "pob", "dod", "pod")),
-    (re.compile(rf"^{_PLACE},?\s+{_YEAR}\s*[-–—]\s*{_YEAR},?\s+{_PLACE}$"), ("pob", "dob", "dod", "pod")),
-    (re.compile(rf"^{_PLACE},?\s+{_YEAR}\s*[-–—]\s*{_PLACE},?\s+{_YEAR}$"), ("pob", "dob", "pod", "dod")),
-    (re.compile(rf"^{_YEAR}\s*[-–—/]\s*{_YEAR}$"), ("dob", "dod")),
-    (re.compile(rf"^{_YEAR}\s*[-–—]\s*\??$"), ("dob",)),
-    (re.compile(rf"^(?:geb\.?|born|b\.|né(?:e)?(?: en)?|\*)\s*{_YEAR}(?:\s+(?:in\s+)?{_PLACE})?$", re.I), ("dob", "pob")),
-    (re.compile(rf"^(?:gest\.?|died|d\.|†|mort(?: en)?)\s*{_YEAR}(?:\s+(?:in\s+)?{_PLACE})?$", re.I), ("dod", "pod")),
-    (re.compile(rf"^\*\s*{_YEAR}(?:\s+{_PLACE})?\s*[,;]?\s*†\s*{_YEAR}(?:\s+{_PLACE})?$"), ("dob", "pob", "dod", "pod")),
-]
-_SAME = re.compile(r"^(?:ebenda|ebd\.?|ibid\.?)$", re.I)
-
-
-def life(text: str) -> dict[str, str] | None:
-    """Dates and places out of what stands in parentheses."""
-    text = " ".join(text.split()).strip(" ,;")
-    for pattern, names in _LIVES:
-        if m := pattern.match(text):
-            found = {n: v.strip() for n, v in zip(names, m.groups(), strict=True) if v}
-            if _SAME.match(found.get("pod", "")):
-                found["pod"] = found.get("pob", "")
-            return found
-    return None
-
 
 def cased(name: str) -> str:
     """Capitals at the start of words, particles small (but not in front), Mc and Mac, Roman numerals, hyphens; mixed case is left as it is."""
@@ -81,14 +59,9 @@ def normal_name(raw: str | None) -> dict:
     if not name:
         return out
     name = re.sub(r"\s*\?+$", "", name)
-    for inner in re.findall(r"\(([^()]*)\)", name):
-        if found := life(inner):
-            out |= {k: v for k, v in found.items() if v and not out[k]}
-    name = re.sub(r"\s*\([^()]*\)", "", name).strip()
-    if m := re.search(rf"[,\s]+((?:geb\.?|born|b\.|\*)?\s*\d{{4}}(?:\s*[-–—]\s*(?:\d{{4}})?)?)$", name):
-        if found := life(m[1]):
-            out |= {k: v for k, v in found.items() if not out[k]}
-            name = name[: m.start()].strip(" ,")
+    name, found, other = parenthesised(name)
+    name, found = inline(name, found)
+    out |= found
     if re.fullmatch(rf"(?i)(?:{UNKNOWN})(?:\b.*)?", name):
         return out | {"matched": True}
     name = re.sub(rf"(?i)^(?:{ATTRIBUTIONS})[:,]?\s+|[,\s]+(?:{ATTRIBUTIONS})\.?$", "", name)
@@ -116,7 +89,7 @@ def normal_name(raw: str | None) -> dict:
         if not 1 <= len(name.split()) <= 6 or not re.fullmatch(r"[\w.’'\-\s]+", name):
             return out
     name = re.sub(r"(?<=[A-Za-z]\.)(?=[A-Za-zÀ-ÿ]{2})", " ", name)
-    return out | {"matched": True, "name": qualifier + cased(name) + suffix}
+    return out | {"matched": True, "name": qualifier + cased((other and fused(name, other)) or name) + suffix}
 
 
 @F.pandas_udf(StructType([StructField("matched", BooleanType())] + [StructField(n, StringType()) for n in ("name", "dob", "dod", "pob", "pod")]))

@@ -1,0 +1,5 @@
+"""All registered queries."""
+
+from findling.plans import evidence, queries, stores
+
+__all__ = ["evidence", "queries", "stores"]

@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findling.functions import dating, jsontext, markup, names, scoring, similarity, values
 from findling.operators import catalogue, images, indexes, inventory, invalidation, matches, pairs, series, tables, trees, vectors
-from findling.plans.standins import views, with_views
+from findling.plans.registry import NOW, QUERIES, SQL, now, query
+from findling.plans.standins import views
 from findling.streaming import micro
 
-NOW = "2001-06-01 00:00:00"
-
-
-def now() -> Column:
-    return F.lit(NOW).cast("timestamp_ntz")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of the views by its name; sql is over the same views."""
-
-    def register(f: Callable[[dict], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(views(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = with_views(" ".join(sql.split()))
-        return f
-
-    return register
+__all__ = ["NOW", "QUERIES", "SQL", "entry", "now", "query"]
 
 
 # Scans
@@ -840,12 +819,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Catalogue states
 
 
-@query("select id, name, id * 2 as twice from (values (1, 'oil'), (2, 'ink'), (3, null)) t(id, name)")
-def src20_src21_inline_rows(v):
-    rows = catalogue.from_arrays(v["part"].sparkSession, "id int, name string", [1, 2, 3], ["oil", "ink", None])
-    return rows.select("id", "name", (F.col("id") * 2).alias("twice"))
-
-
 @query("select artist_a as id from lost union select artist_b from lost union select artist_id from works")
 def so2_distinct_ids(v):
     return catalogue.distinct_ids((v["lost"], "artist_a"), (v["lost"], "artist_b"), (v["works"], "artist_id"))

@@ -38,6 +38,12 @@ VIEWS = {
     "links": """select l_orderkey as auction_id, l_partkey as image_id, l_returnflag <> 'N' as processed, l_linestatus = 'F' as error_free from lineitem""",
     "images": """select p_partkey as image_id, 'img/' || p_brand || '/' || cast(p_partkey % 700 as varchar(20)) || '.jpg' as file_path, p_size % 5 <> 0 as is_embedded, p_partkey % 17 = 0 as cleaned from part""",
     "runs": "select n_nationkey % 5 as source, o_orderdate as run_at, count(*) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
+    "responses": """select o_orderkey, case o_orderkey % 11 when 0 then '{"data": []}' when 1 then 'cut {' when 2 then '{"data":{"lot":"none"}}' else
+        '{"data":{"lot":{"lotId":" L' || cast(o_orderkey as varchar(20)) || ' ","slug":"lot-' || cast(o_orderkey as varchar(20)) || '","lotNumber":' ||
+        case o_orderkey % 5 when 0 then '{"lotNumber":"' || cast(o_custkey as varchar(20)) || '","__typename":"VisibleLotNumber"}' when 1 then '{"lotNumber":" 9 ","__typename":"HiddenLotNumber"}' when 2 then '{"lotNumber":"5"}' when 3 then '{"lotNumber":5,"__typename":"Other"}' else '"7"' end
+        || ',"estimateV2":' || case o_orderkey % 4 when 0 then '{"__typename":"EstimateUponRequest"}' when 1 then 'null' when 2 then '{"lowEstimate":{"amount":"1,' || cast(100 + o_custkey % 900 as varchar(20)) || '"},"highEstimate":{"amount":"2500.5"}}' else '{"__typename":"LowHigh","lowEstimate":{"amount":12},"highEstimate":"x"}' end
+        || ',"auction":' || case o_orderkey % 3 when 0 then '[]' when 1 then '{"dates":{"goesLive":"2021-0' || cast(1 + o_custkey % 9 as varchar(20)) || '-05T23:30:00-07:00","closed":7},"departmentNames":[" A ",7,"","B"],"slug":{"year":2021,"name":"sale"}}'
+            else '{"dates":{"goesLive":"soon","published":"2020-02-03"},"departmentNames":[],"slug":{"year":" 2020 ","name":"' || o_orderstatus || ' &amp; <b>co</b>"}}' end || '}}}' end as body from orders""",
     "tree": """select 'world' as name, cast(null as varchar(20)) as parent union all select r_name, 'world' from region
         union all select n_name, r_name from nation join region on n_regionkey = r_regionkey""",
 }
@@ -48,7 +54,7 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for name, query in VIEWS.items():
         used = {t: made[t] for t in TABLES if re.search(rf"\b(?:from|join) {t}\b", query)}
-        made[name] = spark.sql(re.sub(r"\b(from|join) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], query), **used)
+        made[name] = spark.sql(re.sub(r"\b(from|join) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], query.replace("{", "{{").replace("}", "}}")), **used)  # braces of its own are text
     return made
 
 

@@ -1,4 +1,4 @@
-"""Writers: validated rankings, content-addressed shards, canonical JSON pages, match lists."""
+"""Writers: validated rankings, canonical JSON pages, match lists; sharded tables are in shards."""
 
 from __future__ import annotations
 
@@ -21,12 +21,6 @@ def write_ranking(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def write_new_shards(rows: DataFrame, path: str, shard: str, digest: str, done: DataFrame | None = None) -> None:
-    """Shards whose identity is not among those done, one directory each."""
-    fresh = rows if done is None else rows.join(done.select(shard, digest).distinct(), [shard, digest], "left_anti")
-    fresh.write.mode("append").partitionBy(shard, digest).parquet(path)
-
-
 def write_pages(rows: DataFrame, keys: list[str], path: str, most: int) -> None:
     """Compressed JSON lines, a directory for each page of at most about `most` bytes."""
     paged = byte_pages(rows, keys, most)
