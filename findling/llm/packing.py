@@ -98,8 +98,8 @@ class Encoder(dict):
             for c in {c for c in set(text) if c > "\x7f"}:
                 if c not in self.apart:
                     self.apart[c] = self._stands_apart(c)
-                if not self.apart[c]:
-                    return b"".join(map(self.__getitem__, raw.split()))
+                if not self.apart[c]:  # a mark may compose with a capital as with no small letter
+                    return b"".join(self[run.lower() if run.isascii() else run] for run in text.encode("utf-8", "replace").split())
         return b"".join(map(self.__getitem__, (self.QUOTED if "'" in text else self.RUNS).findall(raw)))
 
 
