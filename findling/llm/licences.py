@@ -8,16 +8,20 @@ the notice's grams the regex library's bounded-error matching decides and gives
 Base labels are exact phrases (`PHRASES`); the notices add labels of their own.
 
 Defined cases: null or empty text has no words, no labels and score 0; equal starts are both reported; repeated
-rows are returned each; an empty table gives no rows; extra columns are ignored. The score is 1 for an exact
-phrase, else the best 1 - edits / length, else 0.
+rows are returned each; an empty table gives no rows; extra columns are ignored; a text of any length is searched
+whole, in time that grows with its length and its number of matches; of matches that overlap the one with the fewest
+edits for its length stays, then the longest, the first, the smaller label. The score is 1 for an exact phrase, else
+the best 1 - edits / length, else 0.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +107,7 @@ class Search:
                 else:
                     spans.append([begin, end])
         out = []
+        spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
         for i, spans in where.items():
             notice, label, _ = self.notices[i]
             for begin, end in spans:
@@ -111,13 +116,14 @@ class Search:
                     continue
                 for m in self.patterns[i].finditer(text, begin, end):
                     edits = sum(m.fuzzy_counts)
-                    first = text.count(" ", 0, m.start()) - 1
+                    first = int(np.searchsorted(spaces, m.start())) - 1
                     out.append((label, first, first + m[0].strip().count(" "), edits, 1 - edits / len(notice)))
-        best: list = []
-        for x in sorted(out, key=lambda x: (-x[4], x[1] - x[2], x[1], x[0])):  # of overlapping matches the closest, then the longest
-            if not any(x[1] <= y[2] and y[1] <= x[2] for y in best):
-                best.append(x)
-        return sorted(best, key=lambda x: (x[1], x[0]))
+        best: list = []  # by first word; none overlaps another, so that only the last that starts before a match ends can meet it
+        for x in sorted(out, key=lambda x: (-x[4], x[1] - x[2], x[1], x[0])):  # of overlapping matches the closest, then the longest, the first, by label
+            at = bisect_right(best, x[2], key=lambda y: y[1])
+            if not at or best[at - 1][2] < x[1]:
+                best.insert(at, x)
+        return best
 
 
 @lru_cache(8)
