@@ -3,15 +3,15 @@
 A sample of at most `sample` vectors (a parameter, the smallest by a hash of their bytes) gives the coarse
 centroids, one for `PER_LIST` vectors, and the codebooks of the residuals' subspaces; every vector is indexed. A vector
 is kept in the inverted list of its nearest centroid with its residual's code and the code's error. A query probes the
-lists whose bisecting plane with its own list it is within `REACH` of, and those that a pair of sampled vectors at a
-cosine of at least the threshold less `MARGIN` links with its own list. The first rule finds links that point in any
-direction, as most do in many dimensions; the second those of crowded groups that vary in few directions, which many
-lists split and the sample therefore knows well. Of these lists two bounds leave out what cannot hold a link: the
+lists whose bisecting plane with its own list it is within a reach of, and those that a pair of sampled vectors at a
+cosine of at least the threshold less `MARGIN` links with its own list. The reach is found on the table itself: the
+links of `ASKED` vectors with all rows say how far apart the two lists of a link lie, and the reach is such that all but
+`LOST` of them are met from either side. Of these lists two bounds leave out what cannot hold a link: the
 angle of a link is at most acos(threshold), so that it reaches a list only if the query's angle to the centroid lies
 within that much of the angles of the list's vectors, and only if the plane is no farther than a link. In a list, table
 lookups give the asymmetric distance to each code; what that distance less the code's error cannot exclude is compared
-exactly, in double precision. Up to `sample` vectors no link is lost; beyond that, recall was 0.9997 and more on 30,000
-vectors, a third of them in one group that varied in 2, 8 or all of 64 directions.
+exactly, in double precision. Up to `sample` vectors no link is lost. A link that one side finds counts at both ends: a
+block adds it to the other end where that side does not ask back.
 
 Equal vectors are one class with a count. Near lists are packed into blocks of about `block` vectors, which a query
 reaches once, and a crowded list is dealt out over several, so that it is many tasks; a block returns a count for
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from findling.llm.shared import components, cut, table, tidy
 
 SAMPLE, MOST_LISTS, PER_LIST, BLOCK, SUBSPACES, CODES = 16_384, 4_096, 64, 4096, 8, 256
-REACH, MARGIN = 0.15, 0.04
+REACH, MARGIN = 0.15, 0.04  #: the least reach; what the sample's pairs may lie below the threshold
+ASKED, LOST = 512, 0.001  #: vectors whose links with all rows calibrate the reach, and the part of them that may be missed
 SLACK = 1e-6  #: of angles and distances, for rounding
 
 
@@ -65,7 +66,7 @@ class Index:
         residuals = sample - self.coarse[nearest(sample, self.coarse)]
         self.books = [kmeans(residuals[:, p], codes) for p in self.parts]
         self.apart = np.sqrt(np.maximum(2 - 2 * self.coarse @ self.coarse.T, 1e-12))
-        self.threshold, own = threshold, nearest(sample, self.coarse)
+        self.threshold, self.reach, own = threshold, REACH, nearest(sample, self.coarse)
         self.linked = np.eye(len(self.coarse), dtype=bool)  #: lists that the sample's near pairs link
         for i in range(0, len(sample), 1024):
             row, col = np.nonzero(sample[i : i + 1024] @ sample.T >= threshold - MARGIN)
@@ -91,7 +92,29 @@ class Index:
         if (self.coarse * self.coarse).sum(1).min() < 0.5:  # a zero centroid: no plane through the origin
             plane[:] = 0
         step = np.sin(link) if link < np.pi / 2 else 2.0
-        return (angle >= least - link) & (angle <= most + link) & (plane <= step + SLACK) & ((plane <= REACH) | self.linked[own])
+        return (angle >= least - link) & (angle <= most + link) & (plane <= step + SLACK) & ((plane <= self.reach) | self.linked[own])
+
+    def probes(self, x: np.ndarray, own: np.ndarray, to: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """What probe says of one list each: whether rows x of the lists own search the lists to."""
+        out = own == to
+        at = np.flatnonzero(~out)
+        x, own, to = x[at], own[at], to[at]
+        here, there = ((x * self.coarse[c]).sum(1) for c in (own, to))
+        angle, link = np.arccos(np.clip(there, -1, 1)), np.arccos(np.clip(self.threshold, -1, 1)) + SLACK
+        plane = np.zeros(len(x)) if (self.coarse * self.coarse).sum(1).min() < 0.5 else (here - there) / self.apart[own, to]
+        step = np.sin(link) if link < np.pi / 2 else 2.0
+        out[at] = (angle >= least[to] - link) & (angle <= most[to] + link) & (plane <= step + SLACK) & ((plane <= self.reach) | self.linked[own, to])
+        return out
+
+    def missed(self, asks: np.ndarray, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the links of asks with the vectors x of the lists named: the asking row, and the reach in thousandths that either side's probing needs to meet the other, 0 where it needs none."""
+        row, col = np.nonzero(asks @ x.T >= self.threshold)
+        near, far, own = asks @ self.coarse.T, x @ self.coarse.T, nearest(asks, self.coarse)[row]
+        other = lists[col]
+        ahead = np.where(self.linked[own, other], 0, (near[row, own] - near[row, other]) / self.apart[own, other])
+        back = np.where(self.linked[other, own], 0, (far[col, other] - far[col, own]) / self.apart[own, other])
+        need = np.where(own == other, 0, np.maximum(np.minimum(ahead, back), 0))
+        return row, np.ceil(need * 1000).astype(np.int64)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
         """Inner products of queries with all codewords of all subspaces, which are the same for every list."""
@@ -192,6 +215,31 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return each.select("vec_id", "digest").join(named, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _calibrated(spark: SparkSession, index: Index, members: DataFrame, asks: np.ndarray) -> Index:
+    """index with the reach at which the links of the asking vectors with all members are found but for LOST of them, of all links and of each vector's on average."""
+    sent = spark.sparkContext.broadcast((index, asks))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                pairs, n = np.unique(np.stack(sent.value[0].missed(sent.value[1], _unit(part.column(0))[1], part.column(1).to_numpy())), axis=1, return_counts=True)
+                for q, need, k in zip(*pairs.tolist(), n.tolist(), strict=True):
+                    held[q, need] = held.get((q, need), 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in held], pa.int32()), pa.array([r for _, r in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["q", "need", "n"])
+
+    found = members.select("embedding", "list").mapInArrow(needs, "q int, need int, n long").groupBy("q", "need").agg(F.sum("n").alias("n")).collect()  # len(asks) * 1000 rows at most
+    if found:
+        q, need, n = np.array([tuple(r) for r in found], np.int64).T
+        each = n / np.bincount(q, n, len(asks))[q]
+        for weights in (n / n.sum(), each / each.sum()):
+            order = np.argsort(-need, kind="stable")
+            over = np.searchsorted(np.cumsum(weights[order]), LOST, "right")
+            index.reach = max(index.reach, (need[order[min(over, len(order) - 1)]] + 1) / 1000)
+    return index
+
+
 def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, sample: int, lists: int, block: int) -> DataFrame:
     """(a, null, links to other classes) and (a, b, 0) for the edges of spanning forests."""
     few = found.select("digest", "embedding").orderBy(F.xxhash64("digest"), "digest").limit(sample).select("embedding").toArrow()
@@ -209,6 +257,7 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
 
     vector = found.schema["embedding"].dataType.simpleString()
     members = cut(found.select("digest", "embedding", "copies").mapInArrow(place, f"digest binary, embedding {vector}, copies long, list int, code binary, error double, angle double"))
+    index = spark.sparkContext.broadcast(_calibrated(spark, index.value, members, unit[: ASKED]))
     # one row for each list, of which there are 4096 at most
     size, least, most = (np.zeros(len(index.value.coarse)) for _ in range(3))
     for at, *about in members.groupBy("list").agg(F.count("*"), F.min("angle"), F.max("angle")).collect():
@@ -227,16 +276,16 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
                 for lo in range(0, total, 64):
                     at, to = np.nonzero(reached[:, lo : lo + 64])
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(to + lo, pa.int32())], ["digest", "embedding", "at"])
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns), pa.array(to + lo, pa.int32())], ["digest", "embedding", "copies", "at"])
 
     total = int((first + parts).max())
-    queries = found.select("digest", "embedding").mapInArrow(probe, f"digest binary, embedding {vector}, at int")
+    queries = found.select("digest", "embedding", "copies").mapInArrow(probe, f"digest binary, embedding {vector}, copies long, at int")
     dealt = lambda m: F.pmod(F.xxhash64("digest"), m)
     where = F.broadcast(spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int"))
     asked = F.broadcast(cut(queries.groupBy("at").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("asks"))))
     none = lambda kind: F.lit(None).cast(kind)
     m = members.join(where, "list").withColumn("at", (F.col("first") + dealt(F.col("parts"))).cast("int")).join(asked, "at").select("at", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "digest", "embedding", "list", "copies", "code", "error")
-    q = queries.join(asked, "at").select("at", dealt(F.col("asks")).cast("int").alias("ask"), "digest", "embedding", none("int").alias("list"), none("long").alias("copies"), none("binary").alias("code"), none("double").alias("error"))
+    q = queries.join(asked, "at").select("at", dealt(F.col("asks")).cast("int").alias("ask"), "digest", "embedding", none("int").alias("list"), "copies", none("binary").alias("code"), none("double").alias("error"))
     step = (2 - 2 * threshold) ** 0.5
 
     def search(group: pa.Table) -> pa.Table:
@@ -251,7 +300,8 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
         errors, copies = own.column("error").to_numpy(), own.column("copies").to_numpy()
         names = {d: i for i, d in enumerate(own.column("digest").to_pylist())}
         ids = [names.setdefault(d, len(names)) for d in asks.column("digest").to_pylist()]
-        ids, lists, counts, froms, tos = np.array(ids), own.column("list").to_numpy(), np.zeros(len(v), np.int64), [], []
+        ids, lists, counts, froms, tos = np.array(ids), own.column("list").to_numpy(), np.zeros(len(names), np.int64), [], []
+        asking_copies, asking_lists = asks.column("copies").to_numpy(), nearest(v, index.value.coarse)
         inside = [(at, np.flatnonzero(lists == at)) for at in np.unique(lists)]
         for i in range(0, len(v), 1024):
             wanted, tables = index.value.probe(v[i : i + 1024], least, most), index.value.tables(v[i : i + 1024])
@@ -265,13 +315,15 @@ def _links(spark: SparkSession, found: DataFrame, n: int, threshold: float, samp
                     r, c = asking[row[j : j + 65_536]] + i, held[col[j : j + 65_536]]
                     link = (np.einsum("ij,ij->i", v[r], u[c]) >= threshold) & (ids[r] != c)
                     r, c = r[link], c[link]
-                    np.add.at(counts, r, copies[c])
+                    np.add.at(counts, ids[r], copies[c])
+                    back = index.value.probes(u[c], lists[c], asking_lists[r], least, most)  # whether the other side asks too, or its count is added here
+                    np.add.at(counts, c[~back], asking_copies[r[~back]])
                     froms.append(ids[r])
                     tos.append(c)
         froms, tos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (froms, tos))
         root, digests = spanning(len(names), froms, tos), list(names)
         joined, some = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(counts)
-        a = [digests[ids[i]] for i in some] + [digests[i] for i in joined]
+        a = [digests[i] for i in some] + [digests[i] for i in joined]
         b = [None] * len(some) + [digests[root[i]] for i in joined]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([*counts[some], *([0] * len(joined))], pa.int64())})
 

@@ -252,3 +252,103 @@ def test_codes_approximate_their_vectors(spark):
     errors = {r["vec_id"]: ((np.array(r["vector"]) - np.array(r["embedding"])) ** 2).sum() for r in got}
     assert all(abs(errors[r["vec_id"]] * 1024**2 - r["error"]) <= 64 + 2 * (64 * r["error"]) ** 0.5 for r in got)
     kept.unpersist()
+
+
+# Earlier operators: what their mends must keep
+
+
+def test_capitals_before_marks_have_the_tokenizers_ids():
+    """Every ASCII letter before every combining mark, and marks in longer texts: composed as the tokenizer composes them."""
+    import string
+    import unicodedata
+
+    from findling.llm import packing
+
+    encoder = packing.Encoder.of(packing.tokenizer_json())
+    marks = [chr(c) for c in range(0x300, 0x370)] + [c for c in map(chr, range(0x370, 0x110000)) if unicodedata.combining(c)][::9]
+    texts = [f"{a}{m}" for a in string.ascii_letters for m in marks]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices("YJWTHabc ,'12" + "".join(marks[:20]), k=rng.randrange(1, 25))) for _ in range(5000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+
+
+def test_many_notices_take_linear_time():
+    from findling.llm import licences
+
+    search, took = licences.Search(licences.NOTICES), []
+    for n in (4_000, 16_000):
+        norm = licences.normal("all rights reserved xx yy zz " * n)
+        start = time.perf_counter()
+        found = search.find(norm)
+        took.append(time.perf_counter() - start)
+        assert [f[1] for f in found] == list(range(0, 6 * n, 6))
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def _distances(notice: str, text: str) -> int:
+    """The fewest edits that turn the notice into some part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_edited_notices_are_found():
+    """As many random edits as a notice may have: found, and with no more edits than a full table of distances allows."""
+    from findling.llm import licences
+
+    search, rng = licences.Search(licences.NOTICES), random.Random(9)
+    for notice, _, most in search.notices:
+        for _ in range(4):
+            text = list(notice)
+            for _ in range(rng.randrange(most + 1)):
+                at = rng.randrange(1, len(text) - 1)
+                text[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+            norm = licences.normal("before it " + "".join(text) + " behind it")
+            found = search.find(norm)
+            assert found or _distances(notice, norm.decode()) > most
+            for f in found:
+                assert f[3] >= min(_distances(n, norm.decode()) for n, own, _ in search.notices if own == f[0])
+
+
+def _few_directions(n, d, seed=0):
+    """Half of n vectors that vary in d directions, and for each a neighbour at a cosine of 0.90 to 0.91."""
+    rng = np.random.default_rng(seed)
+    frame, _ = np.linalg.qr(rng.normal(size=(64, d)))
+    x = rng.normal(size=(n // 2, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = rng.normal(size=x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.91, (n // 2, 1))
+    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * e]) @ frame.T
+
+
+def test_links_count_at_both_ends_beyond_the_sample(spark):
+    """A small sample, so that many lists are split and links are found from one end only."""
+    from findling.llm import product
+
+    x = _few_directions(3000, 8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in product.near_vectors(rows, sample=600, lists=40).collect()}
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() and found.sum() % 2 == 0
+
+
+@pytest.mark.parametrize(("n", "d"), [(60_000, 8), (60_000, 12), (60_000, 16), (60_000, 24), (60_000, 64)])
+def test_reach_is_wide_enough(n, d):
+    """The rule of the calibration on held-out vectors: 0.99 of their links, probed from either side."""
+    from findling.llm import product
+
+    x = _few_directions(n, d)
+    order = np.random.default_rng(1).permutation(n)
+    index = product.Index(x[order[:8192]], n // product.PER_LIST // 2)
+    lists = product.nearest(x, index.coarse)
+    needs = lambda asks: np.concatenate([index.missed(asks, x[i : i + 2048], lists[i : i + 2048])[1] for i in range(0, n, 2048)])
+    seen = np.sort(needs(x[order[: product.ASKED]]))
+    reach = max(product.REACH * 1000, seen[int((1 - product.LOST) * (len(seen) - 1)) + 1 if len(seen) > 1 else 0] + 1)
+    assert (needs(x[order[-500:]]) <= reach).mean() >= 0.99
