@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findling.functions import values
+from findling.operators import trees
 
 
 def from_arrays(spark: SparkSession, schema: str, *arrays: list) -> DataFrame:
@@ -132,3 +133,47 @@ def dictionary_names(rows: DataFrame, raw: str, variants: DataFrame, root: str,
     found = found.select("_raw", F.array_distinct(F.flatten(F.col("_hits._names"))).alias("_found"))
     own = rows.join(found, F.col(raw) == F.col("_raw"), "left").drop("_raw")
     return own.withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.array(F.lit(root)))).drop("_found")
+
+
+def extra_entities(requested: DataFrame, kind: str, matches: DataFrame, column: str) -> DataFrame:
+    """(kind, id) of requested entities of a kind that no requested match implies."""
+    return requested.where(F.col("kind") == kind).join(matches.select(F.col(column).alias("id")), "id", "left_anti").select("kind", "id")
+
+
+def latest_applied(ledger: DataFrame, order: str, status: str = "status", applied: str = "applied") -> DataFrame:
+    """The ledger's last applied row; no row where none is."""
+    return ledger.where(F.col(status) == applied).orderBy(F.desc(order)).limit(1)
+
+
+def linked_by_path(rows: DataFrame, images: DataFrame, path: str = "file_path", key: str = "image_id") -> DataFrame:
+    """rows with the smallest id of the image at their path, null without one."""
+    first = images.where(F.col(path).isNotNull()).groupBy(path).agg(F.min(key).alias(key))
+    return rows.join(first, path, "left")
+
+
+def preferred_row(rows: DataFrame, table: DataFrame, key: str, own: str, group: str) -> DataFrame:
+    """rows with the table row of their group that bears their own key, else the group's smallest: one row of each group is joined, never the group."""
+    same = table.select(F.col(own).alias(key), F.col(group), F.col(own).alias("_same")).distinct()
+    first = table.groupBy(group).agg(F.min(own).alias("_first"))
+    return rows.join(first, group).join(same, [key, group], "left").withColumn(own, F.coalesce("_same", "_first")).drop("_same", "_first")
+
+
+def shaped(rows: DataFrame, kinds: dict[str, str], most: int | None = None) -> DataFrame:
+    """Columns cast to kinds; lists are text, empty for null, and hold `most` entries at most."""
+
+    def column(name: str, kind: str) -> Column:
+        if kind != "list":
+            return F.col(name).try_cast(kind)
+        own = F.coalesce(F.col(name).cast("array<string>"), F.array().cast("array<string>"))
+        return F.slice(own, 1, most) if most else own
+
+    return rows.withColumns({n: column(n, k) for n, k in kinds.items()})
+
+
+def tree_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, parent, step, what) that a dictionary's load does, parents before children: inserts of new names and updates of those whose parent differs; the rest is left alone. step: how deep a name stands below its root."""
+    depth = trees.root_paths(new).select("name", (F.size("path") - 1).alias("step"))
+    was = old.select("name", F.col("parent").alias("_was"), F.lit(True).alias("_there"))
+    met = new.select("name", "parent").join(was, "name", "left").join(depth, "name")
+    what = F.when(F.col("_there").isNull(), "insert").when(~F.col("parent").eqNullSafe(F.col("_was")), "update")
+    return met.withColumn("what", what).where("what is not null").select("name", "parent", "step", "what")

@@ -408,8 +408,8 @@ def jn12_case_insensitive(v):
 
 @query("""select c_custkey, s_suppkey from (select c_custkey, s_suppkey, row_number() over (partition by c_custkey order by case when s_suppkey = c_custkey then 0 else 1 end, s_suppkey) as rn from customer join supplier on s_nationkey = c_nationkey) x where rn = 1""")
 def jn13_preferred_row(v):
-    x = v["customer"].join(v["supplier"], F.col("s_nationkey") == F.col("c_nationkey"))
-    return x.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct((F.col("s_suppkey") != F.col("c_custkey")).alias("a"), "s_suppkey")).alias("s_suppkey"))
+    rows = v["customer"].select("c_custkey", F.col("c_nationkey").alias("s_nationkey"))
+    return catalogue.preferred_row(rows, v["supplier"], "c_custkey", "s_suppkey", "s_nationkey").select("c_custkey", "s_suppkey")
 
 
 @query("select o_orderkey from orders where not exists (select 1 from supplier where s_suppkey = o_orderkey or (s_nationkey = o_custkey % 25 and s_suppkey % 10 = o_orderkey % 10))")

@@ -171,3 +171,44 @@ def test_late_metadata_on_a_stream(spark, tmp_path):
     add(images, [(10, "2024-01-12 00:00:00", 1.0)], kind)
     got = run()
     assert {(1, 1.0), (2, None), (3, None), (9, 9.0)} <= got and (2, 2.0) not in got
+
+
+# What is shown
+
+
+def test_chart_geometry(spark):
+    from findling.functions import charts
+
+    rows = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.3, 1.0, 1.5, 7.0, 10.0, 12.0, 999.0, 1000.0, 5001.0)], "v double")
+    assert [r[0] for r in rows.select(charts.nice_max(F.col("v"))).collect()] == [1, 1, 0.5, 1, 2, 10, 10, 20, 1000, 1000, 10000]
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(charts.label_places(F.lit(0))) == [] and one(charts.label_places(F.lit(3))) == [0, 1, 2] and one(charts.label_places(F.lit(11))) == [0, 2, 4, 6, 8, 10]
+    assert [tuple(p) for p in one(charts.line(F.array(F.lit(5)), F.lit(10.0), (0.0, 0.0, 10.0, 10.0)))] == [(5.0, 5.0)] and one(charts.line(F.array().cast("array<int>"), F.lit(1.0))) == []
+
+
+def test_keypoints_out_of_range(spark):
+    from findling.functions import charts
+
+    points = F.array(F.array(F.lit(1.0), F.lit(2.0)))
+    with pytest.raises(Exception, match="not there"):
+        spark.range(1).select(charts.keypoint_payload(points, points, F.array(F.array(F.lit(0), F.lit(1))), F.array(F.lit(0.5)))).collect()
+
+
+def test_list_defaults(spark):
+    from findling.functions import charts
+
+    rows = [("x", None, None, None), ("x", "accepted", "oldest", "true"), (None, None, None, None), (" ", "expired", None, "true"), (None, "discarded", None, None), (None, None, "newest", None), (None, "unrated", None, "false"), (None, None, None, "true")]
+    got = [tuple(r["d"]) for r in spark.createDataFrame(rows, "q string, r string, s string, b string").select(charts.list_defaults(F.col("q"), F.col("r"), F.col("s"), F.col("b")).alias("d")).collect()]
+    assert got == [("all", "similarity", "all", False), ("accepted", "oldest", "true", False), ("unrated", "similarity", "false", True), ("expired", "similarity", "all", False), ("discarded", "newest", None, False), (None, "newest", None, False), ("unrated", "similarity", "false", True), (None, "newest", "true", False)]
+
+
+def test_preferred_rows_and_tree_changes(spark):
+    from findling.operators import catalogue
+
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "k int, g int")
+    table = spark.createDataFrame([(2, 7), (9, 7), (5, 8), (3, 7)], "own int, g int")
+    assert {(r["k"], r["own"]) for r in catalogue.preferred_row(rows, table, "k", "own", "g").collect()} == {(1, 2), (2, 2), (3, 5)}
+    tree = lambda *pairs: spark.createDataFrame(list(pairs), "name string, parent string")
+    new = tree(("a", None), ("b", "a"), ("c", "b"), ("d", "c"))
+    got = {tuple(r) for r in catalogue.tree_changes(tree(("a", None), ("c", "a"), ("d", "c")), new).collect()}
+    assert got == {("b", "a", 1, "insert"), ("c", "b", 2, "update")} and catalogue.tree_changes(new, new).collect() == []
