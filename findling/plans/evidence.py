@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from findling.functions import dating, identifiers, imagebytes, lifedates, records
+from findling.functions import dating, identifiers, imagebytes, lifedates, markup, records
 from findling.operators import catalogue, extraction
 from findling.plans.registry import query
 
@@ -285,3 +285,14 @@ def src20_src21_inline_rows(v):
     """Parameters as parallel arrays, joined like a table."""
     rows = catalogue.from_arrays(v["part"].sparkSession, "size int, name string", [1, 2, 3, 50], ["oil", "ink", None, "wax"])
     return v["part"].join(F.broadcast(rows), F.col("size") == F.col("p_size")).select("p_partkey", "name", (F.col("p_size") * 2).alias("twice"))  # the parameters' rows
+
+
+_MARKUP = """select p_partkey, '<html><dl><dt>Title:</dt><dd>' || p_name || ' &amp; co</dd><dt>Kind</dt><dd>' || p_type || '</dd><dd> <b>' || p_brand || '</b> </dd></dl><table><tr><th>Size</th><td>' || cast(p_size as varchar(9)) || '
+    cm</td></tr><tr><th>Empty</th><td> </td></tr></table><div class="entry"><span class="label">Kind</span><span class="value">' || p_brand || '</span></div></html>' as html from part"""
+
+
+@query("""select p_partkey, 'Title' as label, p_name || ' & co' as value from part union all select p_partkey, 'Kind', p_type || '; ' || p_brand || '; ' || p_brand from part union all select p_partkey, 'Size', p_size || ' cm' from part""")
+def pg17_pg18_merged_fields(v):
+    """Labelled values of pages made of all parts: lists, tables and marked elements, several values of a label joined."""
+    pages = v["part"].sparkSession.sql(_MARKUP.replace("from part", "from {part}"), part=v["part"])
+    return markup.merged_fields(markup.label_values(pages, "p_partkey"), "p_partkey").select("p_partkey", "label", "value")
