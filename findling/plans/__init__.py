@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from findling.plans import evidence, queries, shows, stores
+from findling.plans import evidence, loading, queries, shows, stores
 
-__all__ = ["evidence", "queries", "shows", "stores"]
+__all__ = ["evidence", "loading", "queries", "shows", "stores"]
