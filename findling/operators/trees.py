@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findling.sources.scratch import cut
+
 ROOT = "unbekannt"
 
 
 def root_paths(nodes: DataFrame, name: str = "name", parent: str = "parent") -> DataFrame:
-    """(name, path): the path from the node to its root; a cycle ends where it closes. Each round joins every open path with the one that begins where it ends, so that a tree of depth d takes log2(d) rounds."""
+    """(name, path): the path from the node to its root; a cycle ends where it closes. Each round joins every open path with the one that begins where it ends, so that a tree of depth d takes log2(d) rounds; a round is written, since a plan joined with itself doubles."""
     paths = nodes.select(F.col(name).alias("name"), F.array(name).alias("path"), F.col(parent).alias("up"))
     while not paths.where("up is not null").isEmpty():
         x = paths.join(paths.select(F.col("name").alias("_n"), F.col("path").alias("_path"), F.col("up").alias("_up")), F.col("up") == F.col("_n"), "left")
         longer = F.concat("path", F.coalesce("_path", F.array("up")))
         x = x.select("name", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.array_distinct(longer)).alias("path"), F.col("_up"), F.size(longer).alias("_size"))
-        paths = x.select("name", "path", F.when(F.size("path") == F.col("_size"), F.col("_up")).alias("up"))
+        paths = cut(x.select("name", "path", F.when(F.size("path") == F.col("_size"), F.col("_up")).alias("up")))
     return paths.select("name", "path")
 
 

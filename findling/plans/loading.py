@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from findling.functions import answers, components, titles
-from findling.operators import loads
+from findling.operators import loads, transfer
 from findling.plans.registry import query
 from findling.sources.scratch import folder
 
@@ -127,3 +127,69 @@ def pg21_component_lots(v):
     pages = v["orders"].select("o_orderkey", F.concat(F.lit("<html><script>"), page, F.lit("</script>")).alias("html"))
     got = components.component_lots(pages, "window.parts", "o_orderkey")
     return got.select("o_orderkey", "source", F.get_json_object("lot", "$.id").cast("long").alias("id"), F.try_element_at("sale", F.lit("sale_id")).alias("sale_id"), F.try_element_at("sale", F.lit("sale_location")).alias("place"))
+
+
+#: A catalogue whose works name artists, platforms, dictionary entries and lots, and another one that holds part of it under ids of its own.
+_WORKS = "select o_orderkey as auction_id, o_custkey as artist_id, cast(o_orderkey % 25 as int) as platform_id, case when o_orderkey % 4 = 3 then null else 'L' || cast(o_orderkey as varchar(20)) end as lot_id, case when o_orderkey % 4 = 3 then 'u/' || cast(o_orderkey as varchar(20)) end as lot_url, 'NATION_' || cast(o_custkey % 5 as varchar(2)) as term from orders"
+_PATHS = "select p_partkey as image_id, case p_partkey % 4 when 0 then './' when 1 then '/srv/lots/' when 2 then 'data/images/' else '/other/' end || 'i' || cast(p_partkey % 900 as varchar(9)) as file_path from part"
+_SELECTED = f"w as (select * from ({_WORKS}) where auction_id in (select auction_id from scores))"
+
+
+def _catalogues(v):
+    spark, nation = v["orders"].sparkSession, v["nation"].withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+    works = spark.sql(_WORKS.replace("from orders", "from {orders}"), orders=v["orders"])
+    works = works.withColumn("names", F.array("term")).drop("term")
+    images = spark.sql(_PATHS.replace("from part", "from {part}"), part=v["part"])
+    own = {"works": works, "artists": v["people"].select("artist_id", "complete_name"), "platforms": nation.select(F.col("n_nationkey").alias("platform_id"), F.col("n_name").alias("name")), "dictionary": v["tree"], "images": images, "links": v["links"].select("auction_id", "image_id").distinct()}
+    shifted = lambda c, when, by: F.when(when, F.col(c) + by).otherwise(F.col(c)).alias(c)
+    third, even = F.col("artist_id") % 3, F.col("platform_id") % 2 == 0
+    known, other = F.col("auction_id") % 10 < 2, F.col("auction_id") % 10 == 1
+    there = {
+        "artists": own["artists"].where(third != 2).select(shifted("artist_id", third == 0, 10_000_000), F.when(third == 0, F.upper("complete_name")).otherwise(F.col("complete_name")).alias("complete_name")),
+        "platforms": own["platforms"].where(even).select(shifted("platform_id", even, 100), F.lower("name").alias("name")),
+        "dictionary": v["tree"].where("parent is null or parent = 'world'"),
+        "works": works.where(known).select(shifted("auction_id", other, 50_000_000), shifted("platform_id", even, 100), "lot_id", "lot_url"),
+        "images": images.where("image_id % 8 = 2").groupBy("file_path").agg(F.min("image_id").alias("image_id")),
+    }
+    return own, there
+
+
+@query(f"""with recursive {_SELECTED}, up(name) as (select distinct term from w union select t.parent from tree t join up on up.name = t.name where t.parent is not null)
+    select 'works' as kind, cast(auction_id as varchar) as id from w union all select 'artists', cast(artist_id as varchar) from people where artist_id in (select artist_id from w) union all select 'platforms', cast(n_nationkey as varchar) from nation where n_nationkey in (select platform_id from w)
+    union all select 'dictionary', name from tree where name in (select name from up) union all select 'images', cast(image_id as varchar) from ({_PATHS}) where image_id in (select image_id from links where auction_id in (select auction_id from w))
+    union all select distinct 'links', auction_id || '-' || image_id from links where auction_id in (select auction_id from w)""")
+def snk23_exported(v):
+    """What the works that have a score lead to."""
+    out = None
+    for kind, df in transfer.exported(_catalogues(v)[0], v["scores"], "/srv/lots", "./data/images/").items():
+        keys = ["auction_id", "image_id"] if kind == "links" else df.columns[:1]
+        own = df.select(F.lit(kind).alias("kind"), F.concat_ws("-", *(F.col(k).cast("string") for k in keys)).alias("id"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+def _imported(v):
+    own, there = _catalogues(v)
+    return transfer.imported(transfer.exported(own, v["scores"], "/srv/lots", "./data/images/"), there)
+
+
+@query(f"""with {_SELECTED} select auction_id, case when artist_id % 3 = 0 then artist_id + 10000000 else artist_id end as artist_id, case when platform_id % 2 = 0 then platform_id + 100 else platform_id end as platform_id, coalesce(lot_id, lot_url) as lot from w where auction_id % 10 > 1""")
+def snk23_imported_works(v):
+    """Works that the other catalogue has neither by id nor by lot, with its ids."""
+    return _imported(v).works.select("auction_id", "artist_id", "platform_id", F.coalesce("lot_id", "lot_url").alias("lot"))
+
+
+@query(f"""with {_SELECTED} select 'artist' as kind, cast(artist_id as varchar) as id from people where artist_id % 3 = 2 and artist_id in (select artist_id from w) union all select 'platform', cast(n_nationkey as varchar) from nation where n_nationkey % 2 = 1 and n_nationkey in (select platform_id from w)
+    union all select 'dictionary', n_name from nation where n_name in (select term from w)""")
+def snk23_imported_names(v):
+    new = _imported(v)
+    return new.artists.select(F.lit("artist").alias("kind"), F.col("artist_id").cast("string").alias("id")).union(new.platforms.select(F.lit("platform"), F.col("platform_id").cast("string"))).union(new.dictionary.select(F.lit("dictionary"), "name"))
+
+
+@query(f"""with {_SELECTED}, i as (select image_id, case image_id % 4 when 3 then file_path else 'data/images/' || regexp_replace(file_path, '^.*/', '') end as file_path from ({_PATHS})), known as (select file_path, min(image_id) as image_id from i where image_id % 8 = 2 group by 1),
+    x as (select distinct l.auction_id, i.file_path from links l join i on i.image_id = l.image_id where l.auction_id in (select auction_id from w where auction_id % 10 > 1)),
+    fresh as (select file_path, (select max(image_id) from known) + row_number() over (order by file_path) as image_id from (select distinct file_path from x where file_path not in (select file_path from known)))
+    select auction_id, image_id from x join (select * from known union all select file_path, image_id from fresh) f on f.file_path = x.file_path""")
+def snk23_imported_links(v):
+    """Links of the works taken over, to files that the other catalogue has by path or gets."""
+    return _imported(v).links
