@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findling.functions import answers, components, titles
+from findling.functions import answers, components, tabs, titles
 from findling.operators import loads, transfer
 from findling.plans.registry import query
 from findling.sources.scratch import folder
@@ -193,3 +193,23 @@ def snk23_imported_names(v):
 def snk23_imported_links(v):
     """Links of the works taken over, to files that the other catalogue has by path or gets."""
     return _imported(v).links
+
+
+_TABS = """select p_partkey, '<div class="ui menu"><a class="item" data-tab="about">About this lot, its makers and the places it has been to</a></div>' || case p_partkey % 3 when 0 then '<div class="ui tab segment" data-tab="about"><p>' || p_name || '</p>' when 1 then '<div data-tab="about">no</div><div class="pane" data-tab="about"><b>' || p_name || '</b>' else '<div data-tab="other">' end ||
+    case p_partkey % 4 when 0 then '<br>Provenienz:<br>' || p_brand when 1 then '<p>Provenance: ' || p_brand || '</p><p>PROVENANCE ' || upper(p_brand) || '</p>' when 2 then '<p>Provenance</p>' else '' end || '<p>' || p_type || '</p></div>' as html from part"""
+
+
+@query("""select p_partkey, case when p_partkey % 3 < 2 then p_name || case when p_partkey % 4 = 2 then '' else chr(10) || p_type end else 'About this lot, its makers and the places it has been to' end as description,
+    case when p_partkey % 3 < 2 then case p_partkey % 4 when 0 then p_brand when 1 then p_brand when 2 then p_type end end as provenance from part""")
+def x29_tab_segments(v):
+    """Pages made of all parts: the segment among buttons and lesser ones of its name, its lines told apart."""
+    pages = v["part"].sparkSession.sql(_TABS.replace("from part", "from {part}"), part=v["part"])
+    return pages.select("p_partkey", tabs.tab_segment("about")(F.col("html")).alias("t")).select("p_partkey", "t.description", "t.provenance")
+
+
+@query("""with t as (select p_partkey as image_id, case when p_partkey % 5 = 0 then upper(p_name) else p_name end || p_partkey // 2 as file_path, p_partkey % 3 = 0 as fresh from part) select lower(file_path) as path_key, count(distinct file_path) as spellings from t group by 1 having count(distinct file_path) > 1 and bool_or(fresh)""")
+def x28_folded_path_clashes(v):
+    """New paths that differ from others in case alone."""
+    number = F.col("p_partkey")
+    images = v["part"].select(number, F.concat(F.when(number % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.expr("p_partkey div 2").cast("string")).alias("file_path"))
+    return transfer.folded_path_clashes(images.where("p_partkey % 3 = 0"), images.where("p_partkey % 3 <> 0"))
