@@ -94,3 +94,15 @@ def replayed(links: DataFrame, images: DataFrame, works: DataFrame, live: Column
     owners = works.join(named, "auction_id", "left").withColumn("_again", again)
     owners = owners.withColumns({done: F.when(F.col("_again"), F.lit(False)).otherwise(F.col(done)), at: F.when(~F.col("_again"), F.col(at))})
     return out.select(*links.columns), owners.select(*works.columns)
+
+
+def variants_added(new: DataFrame, there: DataFrame, name: str, raw: str) -> DataFrame:
+    """(name, raw) of the variants to insert: each pair once, without those that are there, and without null or empty parts."""
+    own = new.where((F.coalesce(name, F.lit("")) != "") & (F.coalesce(raw, F.lit("")) != "")).select(name, raw).distinct()
+    return own.join(there.select(name, raw), [name, raw], "left_anti")
+
+
+def backfilled(rows: DataFrame, column: str, found: str) -> DataFrame:
+    """rows with a list taken from another where it is null or empty; filled ones stay. The other list goes."""
+    empty = F.coalesce(F.size(column) <= 0, F.lit(True))
+    return rows.withColumn(column, F.when(empty, F.col(found)).otherwise(F.col(column))).drop(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from findling.functions import answers, components, tabs, titles
-from findling.operators import loads, transfer
+from findling.operators import catalogue, loads, transfer
 from findling.plans.registry import query
 from findling.sources.scratch import folder
 
@@ -213,3 +213,24 @@ def x28_folded_path_clashes(v):
     number = F.col("p_partkey")
     images = v["part"].select(number, F.concat(F.when(number % 5 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.expr("p_partkey div 2").cast("string")).alias("file_path"))
     return transfer.folded_path_clashes(images.where("p_partkey % 3 = 0"), images.where("p_partkey % 3 <> 0"))
+
+
+@query("select distinct p_type as name, p_brand as raw from part where p_size % 10 <> 0 and p_partkey % 7 <> 0 and not exists (select 1 from part o where o.p_size > 25 and o.p_type = part.p_type and o.p_brand = part.p_brand)")
+def snk18_variants_added(v):
+    """Variants of all parts, some without a name or a spelling, over those of large parts."""
+    part = v["part"]
+    new = part.select(F.when(F.col("p_size") % 10 != 0, F.col("p_type")).alias("name"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).otherwise("").alias("raw"))
+    return loads.variants_added(new, part.where("p_size > 25").select(F.col("p_type").alias("name"), F.col("p_brand").alias("raw")), "name", "raw")
+
+
+@query("""select c_custkey, case when c_custkey % 4 > 1 then ['own'] when c_nationkey % 3 = 2 then [n_name, r_name] else ['unknown'] end as names
+    from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def snk19_backfilled(v):
+    """Dictionary names of all customers' texts, only where their lists are null or empty."""
+    nations = v["nation"].join(v["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    variants = nations.select(F.lower("n_name").alias("key"), F.array("n_name", "r_name").alias("names"))
+    rows = v["customer"].join(v["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = F.when(F.col("c_nationkey") % 3 == 2, F.concat("n_name", F.lit("; no such"))).when(F.col("c_nationkey") % 3 == 1, "no such")
+    own = F.when(F.col("c_custkey") % 4 > 1, F.array(F.lit("own"))).when(F.col("c_custkey") % 4 == 1, F.array().cast("array<string>"))
+    found = catalogue.dictionary_names(rows.select("c_custkey", raw.alias("raw"), own.alias("names")), "raw", variants, "unknown", "found")
+    return loads.backfilled(found, "names", "found").select("c_custkey", "names")

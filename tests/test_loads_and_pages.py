@@ -139,3 +139,11 @@ def test_replays_reset_live_images_alone(spark):
     out, owners = loads.replayed(links, images, works, "not coalesce(cleaned, false) and file_path is not null")
     assert sorted(map(tuple, out.collect()), key=repr) == [(1, 10, False, False), (1, 11, True, False), (2, 11, False, True), (3, 12, None, None), (4, 99, True, True), (5, None, True, True)]
     assert sorted(map(tuple, owners.collect())) == [(1, False, None), (2, True, "t"), (3, None, "t"), (4, True, "t"), (5, True, "t"), (6, True, "t")]
+
+
+def test_variants_and_lists_are_added_where_there_are_none(spark):
+    new = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), (None, "x"), ("", "x"), ("a", None), ("a", "")], "name string, raw string")
+    there = spark.createDataFrame([("a", "y"), (None, "x")], "name string, raw string")
+    assert [tuple(r) for r in loads.variants_added(new, there, "name", "raw").collect()] == [("a", "x")]
+    rows = spark.createDataFrame([(1, None, ["f"]), (2, [], ["f"]), (3, ["o"], ["f"]), (4, [None], ["f"]), (5, [], None)], "i int, names array<string>, found array<string>")
+    assert sorted((tuple(r) for r in loads.backfilled(rows, "names", "found").collect()), key=repr) == [(1, ["f"]), (2, ["f"]), (3, ["o"]), (4, [None]), (5, None)]
