@@ -215,12 +215,12 @@ def x28_folded_path_clashes(v):
     return transfer.folded_path_clashes(images.where("p_partkey % 3 = 0"), images.where("p_partkey % 3 <> 0"))
 
 
-@query("select distinct p_type as name, p_brand as raw from part where p_size % 10 <> 0 and p_partkey % 7 <> 0 and not exists (select 1 from part o where o.p_size > 25 and o.p_type = part.p_type and o.p_brand = part.p_brand)")
+@query("select distinct p_type as name, p_brand as raw from part where p_size % 10 <> 0 and p_partkey % 7 <> 0 and not exists (select 1 from part o where o.p_brand like '%2' and o.p_size > 5 and o.p_type = part.p_type and o.p_brand = part.p_brand)")
 def snk18_variants_added(v):
-    """Variants of all parts, some without a name or a spelling, over those of large parts."""
+    """Variants of all parts, some without a name or a spelling, over those of some brands' larger parts."""
     part = v["part"]
     new = part.select(F.when(F.col("p_size") % 10 != 0, F.col("p_type")).alias("name"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).otherwise("").alias("raw"))
-    return loads.variants_added(new, part.where("p_size > 25").select(F.col("p_type").alias("name"), F.col("p_brand").alias("raw")), "name", "raw")
+    return loads.variants_added(new, part.where("p_brand like '%2' and p_size > 5").select(F.col("p_type").alias("name"), F.col("p_brand").alias("raw")), "name", "raw")
 
 
 @query("""select c_custkey, case when c_custkey % 4 > 1 then ['own'] when c_nationkey % 3 = 2 then [n_name, r_name] else ['unknown'] end as names
