@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +39,8 @@ class Encoder(dict):
     apart, and within them letters and digits from symbols. Runs with an apostrophe stay whole (it may begin a
     contraction), as do all of a text with a character beyond ASCII that, normalised, does not stand apart from symbols
     beside it: a mark, or a letter that decomposes into letter and mark. Texts that may hold an added token, and those
-    for a tokenizer of other habits, are encoded whole.
+    for a tokenizer of other habits, are encoded whole. Words of letters that the tokenizer neither normalises nor splits
+    go to its model at once. A full memory forgets its later half, for what is frequent comes early.
     """
 
     made: dict = {}
@@ -57,6 +59,8 @@ class Encoder(dict):
         symbols = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
         self.parted = all(self._stands_apart(c, x) for c in string.ascii_letters + string.digits for x in symbols) and self._ids("Ab, c\n(d1") == b"".join(map(self._ids, ("ab", ",", "c", "(", "d1")))
         self.plain = self._ids("quality") == self._of_model("quality")
+        self.letters = self._letters() if self.plain else {}
+        self.simple = re.compile(f"[a-z{''.join(map(chr, self.letters))}]+")
 
     @classmethod
     def of(cls, text: str) -> Encoder:
@@ -68,7 +72,20 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _of_model(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self) -> dict[int, str]:
+        """What the model reads for each Latin letter beyond ASCII that stays as it is within a word."""
+        out, normalizer, splitter = {}, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for c in filter(str.isalpha, map(chr, range(0x80, 0x250))):
+            own = f"a{c}b"
+            if splitter and (not normalizer or normalizer.normalize_str(own) == own):
+                found = splitter.pre_tokenize_str(own)
+                if len(found) == 1 and found[0][1] == (0, 3) and found[0][0][0] + found[0][0][-1] == "ab":
+                    out[ord(c)] = found[0][0][1:-1]
+        each = "a".join(map(chr, out)) + "".join(map(chr, out))
+        return out if self._ids(each) == self._of_model(each.translate(out)) else {}
 
     def _stands_apart(self, c: str, symbol: str = ",") -> bool:
         """Whether the tokenizer parts c, normalised, from a symbol on either side."""
@@ -79,15 +96,16 @@ class Encoder(dict):
         return len(found) > 2 and found[0][1] == (0, 1) and found[-1][1] == (len(own) - 1, len(own))
 
     def __missing__(self, run: bytes) -> bytes:
-        # of ASCII letters only: nothing for the tokenizer to normalise or split
-        ids = self._of_model(run.decode()) if self.plain and run.isalpha() else self._ids(run.decode())
+        word = run.decode()
+        ids = self._of_model(word.translate(self.letters)) if self.plain and self.simple.fullmatch(word) else self._ids(word)
         if len(run) <= LONGEST_CACHED:
             self[run] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > CACHED:
-            self.clear()
+            for run in list(self)[CACHED // 2 :]:
+                del self[run]
         return [self._one(t) if t else b"" for t in texts]
 
     def _one(self, text: str) -> bytes:

@@ -498,6 +498,20 @@ def test_encoder_equals_tokenizer_beside_every_letter():
     assert [t for t, got, e in zip(texts, encoder.encode(texts), want, strict=True) if got != np.array(e.ids, "<u4").tobytes()] == []
 
 
+def test_encoder_gives_whole_words_to_the_model_and_forgets_its_later_half(monkeypatch):
+    encoder, r = packing.Encoder(packing.tokenizer_json()), random.Random(2)
+    letters = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha()]
+    texts = ["".join(r.choice([*"abcdefg", *letters, *"éßñ"]) for _ in range(r.randint(1, 14))) for _ in range(5_000)]
+    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder, asked = packing.Encoder(packing.tokenizer_json()), []
+    monkeypatch.setattr(encoder, "_ids", lambda run, f=encoder._ids: (asked.append(run), f(run))[1])
+    monkeypatch.setattr(packing, "CACHED", 6)
+    assert encoder.encode(["the élève naïve straße"]) and asked == []
+    encoder.encode(["one two three four"])
+    want = np.array(encoder.tokenizer.encode("the nine", add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode(["the nine"]) == [want] and list(encoder) == [w.encode() for w in ("the", "élève", "naïve", "nine")]
+
+
 def test_encoder_of_another_tokenizer():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
