@@ -635,6 +635,37 @@ def test_different_words_never_share_a_count(spark):
     assert got[51] == got[52] < got[50]
 
 
+def test_quality_keeps_little_on_disk(spark):
+    """A packet takes under 7 bytes a bigram (ten before) and comes back whole; shuffled files go as score ends."""
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 900, 400)
+    words = np.array([fluency.Classes()[b"w%d" % x] for x in np.minimum(r.zipf(1.2, int(sizes.sum())), 10**6).tolist()], np.uint64)
+    first = np.concatenate([np.zeros(1, np.uint64), words[:-1]])
+    packets = [d for _, d in fluency.packed(first, words, sizes, (4, 2))]
+    coded = [fluency.coded(d) for d in packets]
+    assert [fluency.decoded(x) for x in coded] == packets and sum(map(len, coded)) < 7 * len(words)
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    rows = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 50).tolist()), "en", "a", 1) for i in range(60)]
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    docs, before = spark.createDataFrame(rows, SCHEMA), files()
+    fluency.score(docs, marks)
+    end = time.time() + 20
+    while files() > before and time.time() < end:  # they are removed behind the query's back
+        time.sleep(0.2)
+    assert files() <= before
+
+
+@pytest.mark.parametrize("common_words", [1, 30])
+def test_quality_whichever_words_are_common(spark, common_words):
+    """Sums are the same, to rounding, whether a word's shares are added up where the text is read or asked for."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"v{int(r.paretovariate(0.7))}" for _ in range(r.randint(0, 50))), "en", "a", 1) for i in range(150)]
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    want = {x["doc_id"]: x["log_p"] for x in fluency.score(docs, marks).collect()}
+    got = {x["doc_id"]: x["log_p"] for x in fluency.score(docs, marks, common_words=common_words).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 200 for i in want) and len(set(want.values())) > 50
+
+
 # The pipeline
 
 
