@@ -666,6 +666,15 @@ def test_quality_whichever_words_are_common(spark, common_words):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 200 for i in want) and len(set(want.values())) > 50
 
 
+def test_quality_passes_small_batches_of_text(spark, monkeypatch):
+    """Each step of the score runs with small Arrow batches (whole texts pass outside the heap); the session's own setting returns."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, cut = spark.conf.get(name), fluency.cut
+    monkeypatch.setattr(fluency, "cut", lambda df: (seen.append(spark.conf.get(name)), cut(df))[1])
+    fluency.score(spark.createDataFrame([(1, "a b c", "en", "a", 1)], SCHEMA), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert seen and set(seen) == {"512"} and spark.conf.get(name) == before
+
+
 # The pipeline
 
 
