@@ -6,7 +6,7 @@ import math
 import random
 
 from findling.functions import similarity
-from findling.operators import blocks
+from findling.operators import blocks, pairs
 from findling.plans import queries
 
 DIR = "/root/testdata/sf0.001"
@@ -42,3 +42,16 @@ def test_blocks_hold_every_pair_once(spark):
 def test_artists_of_the_same_nation_go_to_python_by_lists(spark):
     said = plan(queries.QUERIES["sc3_artist_similarity"](spark, DIR))
     assert "MapInArrow" in said and "ArrowEvalPython" not in said
+
+
+def test_best_artists_equal_pairs(spark):
+    names, artists = [["A b", None, "unbekannt"], ["Cd", "a B "], [], None, ["unbekannt", " "]], [" a b", "cde", "Unbekannt", None, ""]
+    got = pairs.best_artists(names, artists)
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(artists)], "i int, j int, a array<string>, b string")
+    for r in rows.withColumn("s", pairs.best_artist("a", "b")).collect():
+        assert math.isnan(got[r["i"], r["j"]]) if r["s"] is None else got[r["i"], r["j"]] == r["s"]
+
+
+def test_best_artists_go_to_python_by_lists(spark):
+    said = plan(queries.QUERIES["sc4_best_artist"](spark, DIR))
+    assert "MapInArrow" in said and "ArrowEvalPython" not in said
