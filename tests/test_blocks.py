@@ -55,3 +55,19 @@ def test_best_artists_equal_pairs(spark):
 def test_best_artists_go_to_python_by_lists(spark):
     said = plan(queries.QUERIES["sc4_best_artist"](spark, DIR))
     assert "MapInArrow" in said and "ArrowEvalPython" not in said
+
+
+def test_classes_hold_every_pair_once(spark):
+    draw = random.Random(7)
+    left = [(k, draw.choice([0, 1]), draw.choice(["x", None])) for k in range(800)] + [(None, 1, "x")] * 2
+    right = [(5000 + k, draw.choice([0, 1, 2]), draw.choice(["y", "z"])) for k in range(310)] + [(None, 0, None)]
+    a, b = spark.createDataFrame(left, "a long, g int, x string"), spark.createDataFrame(right, "b long, g int, y string")
+    met = blocks.class_pairs(a, b, ["g"], ("a", "b"), (["x"], ["y"]), (802, 311))
+    got = [tuple(r) for r in blocks.listed(met).select("g", "x", "y", "a", "b").collect()]
+    assert sorted(map(repr, got)) == sorted(repr((g, x, y, i, j)) for i, g, x in left for j, h, y in right if g == h)
+    assert max(len(r["_left"]) for r in met.select("_left").collect()) <= blocks.LIST_ROWS and blocks.listed(blocks.class_pairs(a, b, [], ("a", "b"), (["x"], ["y"]), (802, 311))).count() == 802 * 311
+
+
+def test_titles_are_compared_once_for_each_two_classes(spark):
+    said = plan(queries.QUERIES["sc1_title_similarity"](spark, DIR))
+    assert said.index("explode") < said.index("levenshtein") < said.index("Join")  # the plan's top comes first
