@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from findling.functions import similarity
 from findling.operators import blocks, pairs
 from findling.plans import queries
@@ -71,3 +73,9 @@ def test_classes_hold_every_pair_once(spark):
 def test_titles_are_compared_once_for_each_two_classes(spark):
     said = plan(queries.QUERIES["sc1_title_similarity"](spark, DIR))
     assert said.index("explode") < said.index("levenshtein") < said.index("Join")  # the plan's top comes first
+
+
+@pytest.mark.parametrize("name", ["jn2_interval_overlap"])
+def test_equal_ranges_meet_once(spark, name):
+    said = plan(queries.QUERIES[name](spark, DIR))
+    assert said.index("explode") < said.index("Join") and "collect_list" in said
