@@ -75,7 +75,7 @@ def test_titles_are_compared_once_for_each_two_classes(spark):
     assert said.index("explode") < said.index("levenshtein") < said.index("Join")  # the plan's top comes first
 
 
-@pytest.mark.parametrize("name", ["jn2_interval_overlap"])
+@pytest.mark.parametrize("name", ["jn2_interval_overlap", "jn3_tolerance_band"])
 def test_equal_ranges_meet_once(spark, name):
     said = plan(queries.QUERIES[name](spark, DIR))
     assert said.index("explode") < said.index("Join") and "collect_list" in said
