@@ -79,3 +79,15 @@ def test_titles_are_compared_once_for_each_two_classes(spark):
 def test_equal_ranges_meet_once(spark, name):
     said = plan(queries.QUERIES[name](spark, DIR))
     assert said.index("explode") < said.index("Join") and "collect_list" in said
+
+
+def test_pair_scoring_compares_titles_by_classes_whatever_the_lists(spark, monkeypatch):
+    """Titles are compared below the listing of pairs; lists of names by number and by pair give the same scores."""
+    few = queries.QUERIES["jn1_score_pairs"](spark, DIR)
+    said = plan(few)
+    assert said.index("explode") < said.index("levenshtein") and "lost_material_no" in said
+    monkeypatch.setattr(pairs, "LIST_PAIRS", 0)
+    many = queries.QUERIES["jn1_score_pairs"](spark, DIR)
+    assert "lost_material_no" not in plan(many)
+    rows = few.collect()
+    assert rows and sorted(map(repr, rows)) == sorted(map(repr, many.collect()))
