@@ -93,7 +93,7 @@ def test_pair_scoring_compares_titles_by_classes_whatever_the_lists(spark, monke
     assert rows and sorted(map(repr, rows)) == sorted(map(repr, many.collect()))
 
 
-@pytest.mark.parametrize("name", ["sc5_dating_similarity"])
+@pytest.mark.parametrize("name", ["sc5_dating_similarity", "sc6_dimensions_similarity"])
 def test_sides_are_dealt_to_all_cores(spark, name):
     said = plan(queries.QUERIES[name](spark, DIR))
     assert said.index("explode") < said.index("Join") and "REPARTITION_BY_NUM" in said
